@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from webloom.session import table
+from webloom import operators, registry
+from webloom.registry import Query
+from webloom.session import ship_package
+
+
+def _load() -> None:
+    for module in sorted(m.name for m in pkgutil.iter_modules(operators.__path__)):
+        importlib.import_module(f"webloom.operators.{module}")
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "crawled_pages").groupBy("language").agg(F.count("*").alias("pages"))
+    """The best matches of a keyword query with their titles and snippets."""
+    from webloom.plans.search import search
+
+    return search(spark, folder, "crawler index -redirect", limit=20)
+
+
+def _shipped(function: Query) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, folder)
+
+    return run
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    _load()
+    return {name: _shipped(function) for name, function in registry.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(registry.SQL)

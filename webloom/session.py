@@ -51,9 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster, once per application."""
+    """Send this package to the Python workers, once per application.
+
+    They need it even on one machine when the driver found it by its own sys.path only.
+    """
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or context.applicationId in _SHIPPED:
+    if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="webloom-code-")) / "webloom_code.zip"
