@@ -43,12 +43,15 @@ def _top_share(page: np.ndarray, code: np.ndarray, pages: int) -> tuple[np.ndarr
     """Per page the count of its most frequent code, and its number of different codes."""
     top, different = np.zeros(pages), np.zeros(pages)
     if len(page):
-        order = np.lexsort((code, page))
-        p, c = page[order], code[order]
-        first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (c[1:] != c[:-1])])
-        counts = np.diff(np.r_[first, len(p)])
-        np.maximum.at(top, p[first], counts)
-        np.add.at(different, p[first], 1)
+        with np.errstate(over="ignore"):
+            mixed = code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        both = np.sort(page.astype(np.uint64) << np.uint64(40) | mixed >> np.uint64(24))
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        counts = np.diff(np.r_[first, len(both)])
+        owner = (both[first] >> np.uint64(40)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        top[owner[starts]] = np.maximum.reduceat(counts, starts)
+        different[owner[starts]] = np.diff(np.r_[starts, len(owner)])
     return top, different
 
 

@@ -10,18 +10,16 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.frames import Anchors, FrameReader
-from webloom.llm.features import title_keys
-from webloom.llm.lines import EMPTY
-from webloom.llm.pages import chunks
+from webloom.llm.features import Residuals
+from webloom.llm.frames import Anchors
+from webloom.llm.pages import LANGUAGE_FIELD, page_facts
 from webloom.llm.words import FUNCTION_WORDS, WORD, language_of_label
 
 LANGUAGES = tuple(FUNCTION_WORDS)
@@ -33,7 +31,6 @@ LEVEL = 3
 MARGIN = 0.04
 LEAST_WORDS = 8
 
-_RUNS = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _MENU = re.compile(r"\s*[|•/·]\s*|[\s ]{3,}")
 _TRAIL = re.compile(r"^\s*[^>»›/]{1,40}\s[>»›/]\s[^>»›/]{1,40}\s[>»›/]\s")
@@ -96,8 +93,14 @@ def fit_dictionaries(pages: DataFrame) -> dict[str, bytes]:
     return dictionaries([r.text for r in ids.select("text").collect()])
 
 
+_CYRILLIC = re.compile("[\u0400-\u04ff]")
+
+
 class Classifier:
-    """The smallest of the frames that the dictionaries leave."""
+    """The smallest of the frames that the dictionaries leave.
+
+    A text without one Cyrillic letter is not held against the Russian dictionary.
+    """
 
     def __init__(self, contents: dict[str, bytes]):
         self.names = list(contents)
@@ -113,7 +116,8 @@ class Classifier:
         if (found := self.known.get(clean)) is not None:
             return found
         data = clean.encode()
-        sizes = [len(c.compress(data)) for c in self.compressors]
+        latin = not _CYRILLIC.search(clean)
+        sizes = [len(c.compress(data)) if not (latin and name == "ru") else 1 << 30 for name, c in zip(self.names, self.compressors)]
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
         margin = (sizes[order[1]] - sizes[order[0]]) / sizes[order[0]]
         found = (self.names[order[0]] if margin >= MARGIN else None, margin)
@@ -132,46 +136,47 @@ def is_list(raw: str) -> bool:
     return len(parts) >= 3 and max(len(p.split()) for p in parts) <= 3
 
 
-LANGUAGE_SCHEMA = "page_id long, line_no int, lang string, confidence double, named string"
-
-
-def _languages(anchors: Anchors, contents: dict[str, bytes]):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, classify = FrameReader(anchors), Classifier(contents)
-        for whole in batches:
-            for batch in chunks(whole, "text"):
-                lines, masks = reader(batch.column("text"), title_keys(batch.column("title").to_pylist()))
-                raw = lines.raw.to_pylist()
-                counts = [len(_RUNS.findall(r)) for r in raw]
-                seen: dict[int, tuple[str | None, float]] = {}
-
-                def language(code: int) -> tuple[str | None, float]:
-                    if code not in seen:
-                        seen[code] = classify(prepared(raw[code]))
-                    return seen[code]
-
-                out: list[tuple] = []
-                for i, (page, label) in enumerate(zip(batch.column("page_id").to_pylist(), batch.column("language").to_pylist())):
-                    codes = lines.of(i).tolist()
-                    if all(lines.kinds[c] == EMPTY for c in codes):
-                        continue
-                    main = _main_language(codes, masks[i], counts, language)
-                    if main is None:
-                        continue
-                    named = language_of_label(label)
-                    out.append((page, -1, *main, named))
-                    for at, code in enumerate(codes):
-                        if counts[code] >= LEAST_WORDS and not is_list(raw[code]):
-                            lang, margin = language(code)
-                            if lang and lang != main[0]:
-                                out.append((page, at, lang, margin, named))
-                columns = list(zip(*out)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string()))],
-                    names=["page_id", "line_no", "lang", "confidence", "named"],
-                )
-
-    return rows
+_STRUCT = pa.list_(pa.struct([("line_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("named", pa.string())]))
+
+
+def _column(contents: dict[str, bytes]):
+    """Makes the function that gives each page of a batch its language and its lines in another one."""
+
+    def make():
+        classify = Classifier(contents)
+
+        def column(batch: pa.RecordBatch, residual: Residuals) -> pa.Array:
+            lines, masks = residual.lines, residual.masks
+            low = pc.utf8_lower(lines.raw)
+            clean = pc.utf8_trim_whitespace(pc.replace_substring_regex(low, r"[^\p{L}'’-]+", " ")).to_pylist()
+            counts = pc.count_substring_regex(low, r"\p{L}+").to_pylist()
+            seen: dict[int, tuple[str | None, float]] = {}
+
+            def language(code: int) -> tuple[str | None, float]:
+                if code not in seen:
+                    seen[code] = classify(f" {clean[code]} ")
+                return seen[code]
+
+            out = []
+            for i, label in enumerate(batch.column("language").to_pylist()):
+                codes = lines.of(i).tolist()
+                main = _main_language(codes, masks[i], counts, language) if any(counts[c] for c in codes) else None
+                if main is None:
+                    out.append([])
+                    continue
+                named = language_of_label(label)
+                rows = [(-1, *main, named)]
+                for at, code in enumerate(codes):
+                    if counts[code] >= LEAST_WORDS:
+                        lang, margin = language(code)
+                        if lang and lang != main[0] and not is_list(lines.raw[code].as_py()):
+                            rows.append((at, lang, margin, named))
+                out.append([dict(zip(("line_no", "lang", "confidence", "named"), r)) for r in rows])
+            return pa.array(out, _STRUCT)
+
+        return column
+
+    return make
 
 
 def _main_language(codes: list[int], mask: list[bool], counts: list[int], language) -> tuple[str, float] | None:
@@ -192,10 +197,14 @@ def _main_language(codes: list[int], mask: list[bool], counts: list[int], langua
     return None
 
 
-def languages(pages: DataFrame, anchors: Anchors) -> DataFrame:
+def page_facts_with_languages(pages: DataFrame, anchors: Anchors) -> DataFrame:
+    """page_facts with each page's languages, in one reading of the texts."""
+    return page_facts(pages, anchors, _column(fit_dictionaries(pages)), LANGUAGE_FIELD)
+
+
+def languages(facts: DataFrame) -> DataFrame:
     """page_id, line_no, lang, confidence, named (by the label): -1 for the page, then its lines in another language."""
-    contents = fit_dictionaries(pages)
-    return pages.select("page_id", "title", "text", "language").mapInArrow(_languages(anchors, contents), LANGUAGE_SCHEMA)
+    return facts.select("page_id", F.explode("languages").alias("l")).select("page_id", "l.*")
 
 
 def wrong_or_foreign(found: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ LONG_CHARS = 150
 
 _BULLET = re.compile(r"^(?:[*•·–»#-]+\s+)+")
 _DATE = re.compile(r"(\S*)\s*\b0([-./])0\2(?:0\b)")
+_MARKS = re.compile(r"[:>»/|›→] ")
 _LABEL = re.compile(r"^(\S+(?: \S+){0,2}?)( ?:| [>»/|›→])(?= )")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]*\.?$")
 
@@ -56,25 +57,24 @@ def is_long(norm: str, kind: int) -> bool:
 
 
 def patterns(raw: str, norm: str, kind: int) -> tuple[int, int, int]:
-    """Keys of what a line shares with lines of the same make; 0 where there is none.
+    """Keys of what a line of at most 260 characters shares with lines of the same make; 0 where there is none.
 
     They stand for the union-free expression of the line: a label before a text slot,
     a slot before a date or a slot of two or three names, and a slot between a fixed
     beginning and a fixed end.
     """
     label = form = middle = 0
-    if kind in (TITLE, SHORT, PROSE) and (m := _LABEL.match(_BULLET.sub("", norm))) and kind != PROSE:
-        label = key64("L " + m.group(1) + m.group(2))
     words = norm.split(" ")
-    if kind in (TITLE, SHORT) and len(words) <= 9:
-        if m := _DATE.search(norm):
-            form = key64("D " + m.group(1))
-        else:
-            tokens = raw.split()
-            if 2 <= len(tokens) <= 3 and all(_CAPITAL.match(t) for t in tokens):
+    if kind != PROSE:
+        if _MARKS.search(norm) and (m := _LABEL.match(_BULLET.sub("", norm))):
+            label = key64("L " + m.group(1) + m.group(2))
+        if len(words) <= 9:
+            if "0" in norm and (m := _DATE.search(norm)):
+                form = key64("D " + m.group(1))
+            elif 2 <= len(words) <= 3 and all(_CAPITAL.match(t) for t in raw.split()):
                 form = key64("N")
-    if 7 <= len(words) <= 40 and len(norm) <= 260 and kind in (TITLE, SHORT, PROSE):
-        middle = key64(f"M {len(words)} {' '.join(words[:3])} … {' '.join(words[-3:])}")
+    if 7 <= len(words) <= 40:
+        middle = key64(f"M {len(words)} {words[0]} {words[1]} {words[2]} … {words[-3]} {words[-2]} {words[-1]}")
     return label, form, middle
 
 
@@ -92,20 +92,24 @@ class Lines:
         self.norm = normalised(self.raw).to_pylist()
         self.keys = np.fromiter((key64(n) for n in self.norm), dtype=np.int64, count=len(self.norm))
         self.kinds = np.fromiter((shape(n) for n in self.norm), dtype=np.int8, count=len(self.norm))
+        self.lengths = np.fromiter((len(n) for n in self.norm), dtype=np.int32, count=len(self.norm))
         self._patterns: np.ndarray | None = None
 
     @property
     def patterns(self) -> np.ndarray:
         """label, form and middle key of each different line."""
         if self._patterns is None:
-            rows = [patterns(r, n, k) for r, n, k in zip(self.raw.to_pylist(), self.norm, self.kinds.tolist())]
-            self._patterns = np.array(rows, dtype=np.int64).reshape(-1, 3)
+            self._patterns = np.zeros((len(self.norm), 3), dtype=np.int64)
+            few = np.flatnonzero((self.lengths <= 260) & np.isin(self.kinds, (TITLE, SHORT, PROSE)))
+            raw = self.raw.take(pa.array(few)).to_pylist()
+            rows = [patterns(r, self.norm[i], k) for r, i, k in zip(raw, few.tolist(), self.kinds[few].tolist())]
+            if rows:
+                self._patterns[few] = rows
         return self._patterns
 
     @property
     def longs(self) -> np.ndarray:
-        lengths = np.fromiter((len(n) for n in self.norm), dtype=np.int32, count=len(self.norm))
-        return (self.kinds == PROSE) & (lengths >= LONG_CHARS)
+        return (self.kinds == PROSE) & (self.lengths >= LONG_CHARS)
 
     def __len__(self) -> int:
         return len(self.offsets) - 1

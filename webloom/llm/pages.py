@@ -26,6 +26,7 @@ SPAM_CUT = 0.5
 NOTICE_SHARE = 0.5
 #: Rows of a batch that is read at once; bounds a Python worker's memory.
 FACT_SCHEMA = "page_id long, host_key long, features array<float>, weak int, placeholders int, notice_share float, has_text boolean"
+LANGUAGE_FIELD = "languages array<struct<line_no:int,lang:string,confidence:double,named:string>>"
 
 
 def crawled(df: DataFrame) -> DataFrame:
@@ -77,9 +78,12 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
     return np.where(f["words"] < 5, -1, np.where(spam & ~plain, 1, np.where(plain & ~spam, 0, -1)))
 
 
-def _facts(anchors: Anchors):
+def _facts(anchors: Anchors, more=None):
+    """more: makes, in the worker, a function from a batch and its residuals to one more column."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = FrameReader(anchors)
+        extra = more() if more else None
         for whole in batches:
             for batch in chunks(whole, "text"):
                 titles = batch.column("title").to_pylist()
@@ -99,16 +103,18 @@ def _facts(anchors: Anchors):
                         pa.array(marks.astype(np.int32)),
                         pa.array(share.astype(np.float32)),
                         pa.array(has_text),
+                        *([extra(batch, residual)] if extra else []),
                     ],
-                    names=["page_id", "host_key", "features", "weak", "placeholders", "notice_share", "has_text"],
+                    names=["page_id", "host_key", "features", "weak", "placeholders", "notice_share", "has_text", *(["languages"] if extra else [])],
                 )
 
     return rows
 
 
-def page_facts(pages: DataFrame, anchors: Anchors) -> DataFrame:
+def page_facts(pages: DataFrame, anchors: Anchors, more=None, field: str = "") -> DataFrame:
     """One row per page (FACT_SCHEMA), kept in the shared folder: several steps read it."""
-    return cut(pages.select("page_id", "host_key", "title", "text", "links").mapInArrow(_facts(anchors), FACT_SCHEMA))
+    schema = FACT_SCHEMA + (", " + field if field else "")
+    return cut(pages.select("page_id", "host_key", "title", "text", "language", "links").mapInArrow(_facts(anchors, more), schema))
 
 
 def residue_pages(facts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import body, fusion, language, mixing, near, packing, pages, pii, repeats, tokens
+from webloom.llm.frames import learn
 from webloom.session import cut, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,15 +26,19 @@ def _left_out(facts: DataFrame) -> DataFrame:
     return pages.residue_pages(facts).union(pages.spam_pages(facts)).distinct()
 
 
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    read = pages.crawled(table(spark, folder, "crawled_pages"))
+    return language.page_facts_with_languages(read, learn(read))
+
+
 def _p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    read, anchors, facts = pages.judged(table(spark, folder, "crawled_pages"))
-    found = language.wrong_or_foreign(language.languages(read, anchors))
+    facts = _languages(spark, folder)
+    found = language.wrong_or_foreign(language.languages(facts))
     return found.join(_left_out(facts), "page_id", "left_anti").select("page_id", "line_no", "lang")
 
 
 def _p2_languages(spark: SparkSession, folder: str) -> DataFrame:
-    read, anchors, _ = pages.judged(table(spark, folder, "crawled_pages"))
-    return language.languages(read, anchors).select("page_id", "line_no", "lang", F.round("confidence", 6).alias("confidence"))
+    return language.languages(_languages(spark, folder)).select("page_id", "line_no", "lang", F.round("confidence", 6).alias("confidence"))
 
 
 def _p3_found(spark: SparkSession, folder: str) -> DataFrame:
