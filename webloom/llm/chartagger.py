@@ -7,6 +7,8 @@ Viterbi pass per line reconciles them.
 
 from __future__ import annotations
 
+import io
+import pkgutil
 import unicodedata
 from pathlib import Path
 
@@ -69,8 +71,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    def __init__(self, path: Path | str = WEIGHTS):
-        with np.load(path) as stored:
+    def __init__(self, path: Path | str | None = None):
+        source = path or io.BytesIO(pkgutil.get_data(__package__, WEIGHTS.name))
+        with np.load(source) as stored:
             self.weights = {k: stored[k].astype(np.float32) for k in stored.files}
         self.hidden = self.weights["recur_f"].shape[0]
 

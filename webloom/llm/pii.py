@@ -39,13 +39,17 @@ def _tokens(line: str, begin: int, end: int) -> tuple[int, int]:
     return begin, end
 
 
+def _email_at(line: str, begin: int, end: int) -> tuple[int, int] | None:
+    for m in _EMAIL.finditer(line):
+        if m.start() < end and m.end() > begin:
+            return m.span()
+    return None
+
+
 def checked(line: str, begin: int, end: int, kind: str) -> tuple[int, int] | None:
     """The exact span of an item, or None where it lacks what its kind must hold."""
     if kind == "email":
-        for m in _EMAIL.finditer(line):
-            if m.start() < end and m.end() > begin:
-                return m.span()
-        return None
+        return _email_at(line, begin, end)
     begin, end = _tokens(line, begin, end)
     if kind == "phone":
         while begin < end and not (line[begin].isdigit() or line[begin] in "+("):
@@ -82,7 +86,10 @@ def found_in(tagger: Tagger, lines: list[str]) -> list[list[tuple[int, int, str]
     for line, spans in zip(lines, tagger.spans(lines)):
         kept: list[tuple[int, int, str]] = []
         for begin, end, kind in spans:
-            exact = checked(line, begin, end, kind)
+            if kind != "email" and (mail := _email_at(line, begin, end)) and "@" in line[slice(*mail)] and mail[0] <= begin:
+                exact, kind = mail, "email"  # a name in an address is part of the address
+            else:
+                exact = checked(line, begin, end, kind)
             if exact and (not kept or exact[0] >= kept[-1][1]):
                 kept.append((*exact, kind))
         out.append(kept)
