@@ -103,5 +103,15 @@ def highlight(text: Column, terms: list[str]) -> Column:
 
 def truncated_bytes(c: Column, most: int) -> Column:
     """The longest beginning of at most `most` UTF-8 bytes that cuts no character."""
-    raw = F.substring(F.encode(c, "utf-8"), 1, most)
-    return F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(F.decode(raw, "utf-8"), "�+$", ""))
+    points = F.split(c, "")
+    kept = F.aggregate(
+        points,
+        F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("chars"), F.lit(True).alias("open")),
+        lambda a, x: F.struct(
+            (a["bytes"] + F.octet_length(x)).alias("bytes"),
+            (a["chars"] + F.when(a["open"] & (a["bytes"] + F.octet_length(x) <= most), 1).otherwise(0)).alias("chars"),
+            (a["open"] & (a["bytes"] + F.octet_length(x) <= most)).alias("open"),
+        ),
+        lambda a: a["chars"],
+    )
+    return F.when(F.octet_length(c) <= most, c).otherwise(c.substr(F.lit(1), kept))
