@@ -31,14 +31,18 @@ from webloom.session import cut
 
 SIMILARITY = 0.45
 WORDS = 3
-SEGMENTS, WIDTH = 48, 3
+SEGMENTS, WIDTH = 56, 3
 #: Hamming limit over the SEGMENTS * WIDTH hashes; a pair at SIMILARITY stays far below it.
-LIMIT = 120
+LIMIT = 140
 CHAIN = 12
 #: Counters of the commonness table (4 bytes each), whatever the size of the input.
 COUNTERS = 1 << 18
+#: Digests of a partition's bodies that are remembered while counting (16 bytes each).
+KNOWN = 1_000_000
+#: Up to this number ids go to the executors as a sorted array (8 bytes each); beyond it rows are joined.
+MAX_IDS = 1_000_000
 #: Least probability with which a sequence is drawn into a sketch.
-FLOOR = 0.15
+FLOOR = 0.03
 
 _RNG = np.random.default_rng(20240611)
 _MULTIPLY = (_RNG.integers(0, 1 << 32, SEGMENTS * WIDTH, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -83,33 +87,42 @@ def sequences(reader: FrameReader, texts: pa.Array) -> tuple[np.ndarray, np.ndar
         joined = (word[:-2] * np.uint64(0x9E3779B97F4A7C15) + word[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + word[2:] if len(word) > 2 else np.zeros(0, np.uint64)
         ok = owner[2:] == owner[:-2] if len(word) > 2 else np.zeros(0, bool)
         value = _mix(joined[ok])
-    both = np.unique(owner[2:][ok].astype(np.uint64) << np.uint64(32) | value.astype(np.uint64)) if len(value) else np.zeros(0, np.uint64)
+    both = np.sort(owner[2:][ok].astype(np.uint64) << np.uint64(32) | value.astype(np.uint64)) if len(value) else np.zeros(0, np.uint64)
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
     starts = np.searchsorted(both, np.arange(len(lines) + 1, dtype=np.uint64) << np.uint64(32))
     return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), starts
 
 
 def _classes_and_counts(anchors: Anchors):
-    """Rows (result_id, class key) and, at a partition's end, its part of the count table."""
+    """Rows (result_id, class key) and, at a partition's end, its part of the count table.
+
+    A body that comes back in the same partition counts once, so that copies of one text
+    do not make its sequences look common.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = FrameReader(anchors)
         counters = np.zeros(COUNTERS, dtype=np.int32)
         schema = pa.schema([("result_id", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("counters", pa.binary())])
-        seen = 0
+        seen, known = 0, set()
         for whole in batches:
             for batch in chunks(whole, "text"):
                 texts = batch.column("text").to_pylist()
                 values, starts = sequences(reader, batch.column("text"))
-                counters += np.bincount(values & np.uint32(COUNTERS - 1), minlength=COUNTERS).astype(np.int32)
-                ids, first, second = [], [], []
+                ids, first, second, fresh = [], [], [], np.zeros(len(texts), dtype=bool)
                 for i, (row, text) in enumerate(zip(batch.column("result_id").to_pylist(), texts)):
                     part = values[starts[i] : starts[i + 1]]
                     if not len(part) and not (text and text.strip()):
                         continue
-                    seen += 1
                     digest = xxhash.xxh3_128_digest(part.tobytes() if len(part) else b"text " + text.encode())
                     a, b = np.frombuffer(digest, dtype=np.int64)
+                    fresh[i] = digest not in known
+                    if len(known) < KNOWN:
+                        known.add(digest)
                     ids.append(row), first.append(int(a)), second.append(int(b))
+                seen += int(fresh.sum())
+                drawn = np.repeat(fresh, np.diff(starts))
+                counters += np.bincount(values[drawn] & np.uint32(COUNTERS - 1), minlength=COUNTERS).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.nulls(len(ids), pa.binary())], schema=schema)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([seen], pa.int64()), pa.nulls(1, pa.int64()), pa.array([counters.tobytes()])], schema=schema)
@@ -152,10 +165,7 @@ def _sketches(anchors: Anchors, probability: np.ndarray):
                 sketch = np.empty((len(have), SEGMENTS * WIDTH), dtype=np.uint32)
                 if len(have):
                     for k in range(SEGMENTS * WIDTH):
-                        hashed = kept * _MULTIPLY[k] + _ADD[k]
-                        hashed ^= hashed >> np.uint32(15)
-                        hashed *= np.uint32(0x2C1B3C6D)
-                        hashed ^= hashed >> np.uint32(13)
+                        hashed = (kept ^ _ADD[k]) * _MULTIPLY[k]
                         sketch[:, k] = np.minimum.reduceat(hashed, first)
                 ids = np.asarray(batch.column("result_id"))[have]
                 parts = sketch.reshape(-1, SEGMENTS, WIDTH).astype(np.uint64)
@@ -206,6 +216,24 @@ def _sequence_rows(anchors: Anchors):
     return rows
 
 
+def _filtered(ids: np.ndarray, keep: bool):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inside = np.isin(np.asarray(batch.column("result_id")), ids, assume_unique=False, kind="sort")
+            yield batch.filter(pa.array(inside if keep else ~inside))
+
+    return rows
+
+
+def _with_ids(texts: DataFrame, ids: DataFrame, keep: bool) -> DataFrame:
+    """The rows whose result_id is, or is not, among ids. Few ids spare the texts a shuffle."""
+    ids = ids.distinct()
+    few = ids.limit(MAX_IDS + 1).toArrow().column("result_id").to_numpy()
+    if len(few) <= MAX_IDS:
+        return texts.select("result_id", "text").mapInArrow(_filtered(np.sort(few), keep), "result_id long, text string")
+    return texts.select("result_id", "text").join(ids, "result_id", "left_semi" if keep else "left_anti")
+
+
 def classes(df: DataFrame) -> tuple[DataFrame, Anchors, DataFrame, np.ndarray]:
     """bodies, anchors, class of each row (result_id, class_id) and draw probabilities."""
     texts = bodies(df)
@@ -223,7 +251,7 @@ def classes(df: DataFrame) -> tuple[DataFrame, Anchors, DataFrame, np.ndarray]:
 def class_pairs(texts: DataFrame, anchors: Anchors, shared: DataFrame, probability: np.ndarray) -> DataFrame:
     """Pairs (a, b) of classes, by their least result_id, whose bodies are versions of one text."""
     others = shared.where("result_id <> class_id").select("result_id")
-    singles = texts.select("result_id", "text").join(others, "result_id", "left_anti")
+    singles = _with_ids(texts, others, keep=False)
     sketches = cut(singles.mapInArrow(_sketches(anchors, probability), "result_id long, segments array<long>, sketch binary"))
     keys = sketches.select("result_id", F.explode("segments").alias("key"))
     left, right = keys.select("key", F.col("result_id").alias("a")), keys.select("key", F.col("result_id").alias("b"))
@@ -233,8 +261,8 @@ def class_pairs(texts: DataFrame, anchors: Anchors, shared: DataFrame, probabili
         lookup.select(F.col("result_id").alias("b"), F.col("sketch").alias("sketch_b")), "b"
     )
     near = cut(drawn.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_ring_filter, "a long, b long"))
-    wanted = near.select(F.col("a").alias("result_id")).union(near.select("b")).distinct()
-    exact = texts.select("result_id", "text").join(wanted, "result_id", "left_semi").mapInArrow(_sequence_rows(anchors), "result_id long, sequences array<int>")
+    wanted = near.select(F.col("a").alias("result_id")).union(near.select("b"))
+    exact = _with_ids(texts, wanted, keep=True).mapInArrow(_sequence_rows(anchors), "result_id long, sequences array<int>")
     pairs = near.join(exact.select(F.col("result_id").alias("a"), F.col("sequences").alias("sa")), "a").join(
         exact.select(F.col("result_id").alias("b"), F.col("sequences").alias("sb")), "b"
     )
