@@ -9,7 +9,7 @@ from webloom.functions.text import STOP_WORDS
 
 #: Operators of the query language and the request fields they set.
 MODIFIERS = {"site": "site", "tld": "tld", "inurl": "inurl", "filetype": "file_type", "author": "author", "language": "language"}
-_SEPARATORS = str.maketrans({c: " " for c in "/\;:,.!?()[]{}<>|&=*"})
+_SEPARATORS = str.maketrans({c: " " for c in "/\\;:,.!?()[]{}<>|&=*"})
 
 
 @dataclass
@@ -38,7 +38,7 @@ def _unique(words: list[str]) -> list[str]:
 
 def words_of(text: str) -> list[str]:
     """Lower-case words; those of one character go when longer ones are there."""
-    words = _unique([w for w in text.lower().translate(_SEPARATORS).replace('"', " ").split() if w])
+    words = _unique([w for w in text.lower().translate(_SEPARATORS).replace('"', " ").split() if w.strip("-+")])
     long = [w for w in words if len(w) > 1]
     return long or words
 
