@@ -104,7 +104,11 @@ def j13_exact_content(spark, folder):
 
 
 def shingles(tokens: Column, width: int = 4) -> Column:
-    """Different hashed word sequences."""
+    """Different hashed word sequences of a token column.
+
+    The tokens have to be a column of their own: an expression would be worked out anew for
+    every sequence.
+    """
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - width + 1))
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, width), "\0"))))
 
@@ -112,16 +116,20 @@ def shingles(tokens: Column, width: int = 4) -> Column:
 def simhash(rows: DataFrame, key: str, hashes: str) -> DataFrame:
     """64-bit majority fingerprint of an array of hashes."""
     bits = rows.select(key, F.explode(hashes).alias("h"))
-    votes = [F.sum(F.when(F.shiftrightunsigned("h", i).bitwiseAND(1) == 1, 1).otherwise(-1)).alias(f"b{i}") for i in range(64)]
-    summed = bits.groupBy(key).agg(*votes)
-    parts = [F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
+    # four bits of a hash are spread over the 16-bit lanes of one long, so that 16 sums count 64 bits
+    lanes = [F.sum((F.shiftrightunsigned("h", 4 * i).bitwiseAND(15) * 0x200040008001).bitwiseAND(0x1000100010001)).alias(f"l{i}") for i in range(16)]
+    summed = bits.groupBy(key).agg(F.count("*").alias("n"), *lanes)
+    parts = [
+        F.when(2 * F.shiftrightunsigned(f"l{i // 4}", 16 * (i % 4)).bitwiseAND(65535) > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+        for i in range(64)
+    ]
     return summed.select(key, reduce(lambda a, b: a.bitwiseOR(b), parts).alias("fingerprint"))
 
 
 @query()
 def c22_simhash(spark, folder):
-    rows = documents_of(spark, folder).select("doc_id", shingles(T.word_tokens(F.col("text"))).alias("s"))
-    return simhash(rows, "doc_id", "s")
+    words = documents_of(spark, folder).select("doc_id", T.word_tokens(F.col("text")).alias("w"))
+    return simhash(words.select("doc_id", F.slice(shingles(F.col("w")), 1, 4096).alias("s")), "doc_id", "s")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -149,23 +157,17 @@ def duplicate_pairs(documents: DataFrame, key: str = "doc_id", body: str = "text
     decide. Bands keep buckets small whatever the number of texts, no bucket is capped.
     """
     texts = documents.where(F.col(body).isNotNull()).select(F.xxhash64(body).alias("h"), F.col(key), F.col(body)).groupBy("h").agg(F.min(key).alias(key), F.first(body).alias(body))
-    sets = texts.select(key, shingles(T.tokens(F.col(body)), width).alias("s")).where(F.size("s") > 0)
-    minima = [F.array_min(F.transform("s", _seeded(seed))) for seed in range(rows * bands)]
-    banded = [F.xxhash64(F.lit(b), *minima[b * rows : (b + 1) * rows]) for b in range(bands)]
-    keyed = sets.select(key, F.explode(F.array(*banded)).alias("band"))
+    words = texts.select(key, T.tokens(F.col(body)).alias("w"))
+    sets = words.select(key, shingles(F.col("w"), width).alias("s")).where(F.size("s") > 0)
+    minima = sets.select(key, F.explode("s").alias("x")).groupBy(key).agg(*[F.min(F.xxhash64("x", F.lit(i))).alias(f"m{i}") for i in range(rows * bands)])
+    banded = [F.xxhash64(F.lit(b), *[F.col(f"m{i}") for i in range(b * rows, (b + 1) * rows)]) for b in range(bands)]
+    keyed = minima.select(key, F.explode(F.array(*banded)).alias("band"))
     pairs = keyed.select("band", F.col(key).alias("a")).join(keyed.select("band", F.col(key).alias("b")), "band").where("a < b").select("a", "b").distinct()
     left, right = (sets.select(F.col(key).alias(n), F.col("s").alias("s" + n)) for n in "ab")
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold)
 
 
-def _seeded(seed: int):
-    def hashed(x: Column) -> Column:
-        return F.xxhash64(x, F.lit(seed))
-
-    return hashed
-
-
 _S5 = f"""t AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL GROUP BY text), k AS (SELECT doc_id, {T.tokens_sql('text')} AS w FROM t),
 s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(list_slice(w, i, i + 4), chr(1)))) AS g FROM k),
 e AS (SELECT doc_id, unnest(g) AS x FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)"""
