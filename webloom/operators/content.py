@@ -113,9 +113,18 @@ def shingles(tokens: Column, width: int = 4) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, width), "\0"))))
 
 
+def exploded(rows: DataFrame, key: str, values: str, name: str) -> DataFrame:
+    """One row per element.
+
+    explode() would let the optimizer push a filter on the array's size below its own
+    projection, where the tokens are worked out again for every sequence.
+    """
+    return rows.select(key, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def simhash(rows: DataFrame, key: str, hashes: str) -> DataFrame:
     """64-bit majority fingerprint of an array of hashes."""
-    bits = rows.select(key, F.explode(hashes).alias("h"))
+    bits = exploded(rows, key, hashes, "h")
     # four bits of a hash are spread over the 16-bit lanes of one long, so that 16 sums count 64 bits
     lanes = [F.sum((F.shiftrightunsigned("h", 4 * i).bitwiseAND(15) * 0x200040008001).bitwiseAND(0x1000100010001)).alias(f"l{i}") for i in range(16)]
     summed = bits.groupBy(key).agg(F.count("*").alias("n"), *lanes)
@@ -158,8 +167,8 @@ def duplicate_pairs(documents: DataFrame, key: str = "doc_id", body: str = "text
     """
     texts = documents.where(F.col(body).isNotNull()).select(F.xxhash64(body).alias("h"), F.col(key), F.col(body)).groupBy("h").agg(F.min(key).alias(key), F.first(body).alias(body))
     words = texts.select(key, T.tokens(F.col(body)).alias("w"))
-    sets = words.select(key, shingles(F.col("w"), width).alias("s")).where(F.size("s") > 0)
-    minima = sets.select(key, F.explode("s").alias("x")).groupBy(key).agg(*[F.min(F.xxhash64("x", F.lit(i))).alias(f"m{i}") for i in range(rows * bands)])
+    sets = words.select(key, shingles(F.col("w"), width).alias("s"))
+    minima = exploded(sets, key, "s", "x").groupBy(key).agg(*[F.min(F.xxhash64("x", F.lit(i))).alias(f"m{i}") for i in range(rows * bands)])
     banded = [F.xxhash64(F.lit(b), *[F.col(f"m{i}") for i in range(b * rows, (b + 1) * rows)]) for b in range(bands)]
     keyed = minima.select(key, F.explode(F.array(*banded)).alias("band"))
     pairs = keyed.select("band", F.col(key).alias("a")).join(keyed.select("band", F.col(key).alias("b")), "band").where("a < b").select("a", "b").distinct()
