@@ -114,6 +114,22 @@ def test_repeated_lines_against_brute_force(spark):
     assert "© 2025 Alpha" not in cleaned[3].text and cleaned[3].removed_lines > 3
 
 
+def test_keys_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
+    frame = cases.results_frame(spark, [(c["id"], c["url"], c["text"]) for c in cases.crawl(60)])
+    lines = {tuple(r) for r in repeats.repeated_lines(frame).collect()}
+    texts = {(r.result_id, r.text, r.removed_lines) for r in repeats.without_repeats(frame).collect()}
+    monkeypatch.setattr(repeats, "MAX_BROADCAST_KEYS", 2)
+    assert {tuple(r) for r in repeats.repeated_lines(frame).collect()} == lines and lines
+    assert {(r.result_id, r.text, r.removed_lines) for r in repeats.without_repeats(frame).collect()} == texts
+
+
+def test_versions_with_joined_anchors(spark, monkeypatch):
+    frame = cases.results_frame(spark, [r[:3] for r in versions()])
+    want = {tuple(r) for r in near.version_pairs(frame).collect()}
+    monkeypatch.setattr("webloom.llm.frames.MAX_BROADCAST_ANCHORS", 1)
+    assert {tuple(r) for r in near.version_pairs(frame).collect()} == want
+
+
 def test_no_repeats(spark):
     assert repeats.repeated_lines(cases.results_frame(spark, [])).count() == 0
     assert repeats.repeated_lines(cases.results_frame(spark, [(1, None, "a"), (2, "https://a.test/", None)])).count() == 0

@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm import cases
-from webloom.llm import body, language, pages, residue, trees
+from webloom.llm import body, frames, language, pages, residue, trees
 from webloom.llm.frames import _increasing, learn
 from webloom.llm.lines import HEADING, PROSE, SHORT, TITLE, VALUE, Lines, shape
 from webloom.llm.queries import _left_out
@@ -49,6 +49,13 @@ def test_bodies_keep_their_lines(spark):
         assert all(p in got[c["id"]] for p in c["body"]) and " = " in got[c["id"]] and "Skip to content" not in got[c["id"]]
 
 
+def test_anchors_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
+    results, crawl = as_results(spark), as_pages(spark)
+    want = {tuple(r) for r in body.frame_lines(results, crawl).collect()}
+    monkeypatch.setattr(frames, "MAX_BROADCAST_ANCHORS", 3)
+    assert {tuple(r) for r in body.frame_lines(results, crawl).collect()} == want and want
+
+
 def odd_pages():
     return [(1000 + i, None if i % 3 == 0 else "https://alpha.test/odd", None if i % 2 else "t", t, None if i % 2 else [], None) for i, t in enumerate(cases.ODD_TEXTS)]
 
@@ -56,7 +63,7 @@ def odd_pages():
 def test_odd_pages_do_not_crash(spark):
     df = as_pages(spark, odd_pages())
     read = pages.crawled(df)
-    facts = language.page_facts_with_languages(read, learn(read))
+    facts = language.page_facts_with_languages(read, learn(read).anchors)
     assert facts.count() == len(CRAWL) + len(cases.ODD_TEXTS)
     ids = {r.page_id for r in language.languages(facts).collect()}
     assert not ids & {1000, 1001, 1002, 1003}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import pages as page_facts
 from webloom.llm.features import title_keys
-from webloom.llm.frames import Anchors, FrameReader, learn
+from webloom.llm.frames import Anchors, FrameReader, extra, learn
 from webloom.llm.near import bodies
 from webloom.llm.pages import chunks, crawled
 
@@ -21,7 +21,7 @@ def _frame_lines(anchors: Anchors):
         reader = FrameReader(anchors)
         for whole in batches:
             for batch in chunks(whole, "text"):
-                lines, masks = reader(batch.column("text"), title_keys(batch.column("title").to_pylist()))
+                lines, masks = reader(batch, title_keys(batch.column("title").to_pylist()))
                 counts = np.array([sum(m) for m in masks], dtype=np.int64)
                 places = [at for m in masks for at, framed in enumerate(m) if framed]
                 ids = np.repeat(np.asarray(batch.column("record_id")), counts)
@@ -35,7 +35,7 @@ def _main_text(anchors: Anchors):
         reader = FrameReader(anchors)
         for whole in batches:
             for batch in chunks(whole, "text"):
-                lines, masks = reader(batch.column("text"), title_keys(batch.column("title").to_pylist()))
+                lines, masks = reader(batch, title_keys(batch.column("title").to_pylist()))
                 raw = lines.raw.to_pylist()
                 texts = [
                     None if text is None else "\n".join(raw[c] for c, f in zip(lines.of(i).tolist(), masks[i]) if not f)
@@ -49,8 +49,8 @@ def _main_text(anchors: Anchors):
 def _both(results: DataFrame, crawl: DataFrame) -> tuple[DataFrame, DataFrame, Anchors]:
     first = bodies(results).select(F.col("result_id").alias("record_id"), "host_key", F.lit(None).cast("string").alias("title"), "text")
     second = crawled(crawl)
-    anchors = learn(first.select("host_key", "text").unionAll(second.select("host_key", "text")))
-    return first, second, anchors
+    learned = learn(first.select("host_key", "text").unionAll(second.select("host_key", "text")))
+    return learned.on(first), learned.on(second), learned.anchors
 
 
 def frame_lines(results: DataFrame, crawl: DataFrame) -> DataFrame:
@@ -62,15 +62,15 @@ def frame_lines(results: DataFrame, crawl: DataFrame) -> DataFrame:
     first, second, anchors = _both(results, crawl)
     facts = page_facts.page_facts(second, anchors)
     out = page_facts.residue_pages(facts).union(page_facts.spam_pages(facts)).distinct()
-    kept = second.join(out, "page_id", "left_anti").select(F.col("page_id").alias("record_id"), "title", "text")
+    kept = second.join(out, "page_id", "left_anti").select(F.col("page_id").alias("record_id"), "title", "text", *extra(second))
     schema = "record_id long, line_no int"
-    of = lambda df, name: df.select("record_id", "title", "text").mapInArrow(_frame_lines(anchors), schema).select(F.lit(name).alias("tab"), "record_id", "line_no")
+    of = lambda df, name: df.select("record_id", "title", "text", *extra(df)).mapInArrow(_frame_lines(anchors), schema).select(F.lit(name).alias("tab"), "record_id", "line_no")
     return of(first, "crawl_results").unionAll(of(kept, "crawled_pages"))
 
 
 def main_bodies(results: DataFrame, crawl: DataFrame) -> DataFrame:
     """tab, record_id and body: the lines of the main body in their order (null for a null text)."""
     first, second, anchors = _both(results, crawl)
-    pages = second.select(F.col("page_id").alias("record_id"), "title", "text")
-    of = lambda df, name: df.select("record_id", "title", "text").mapInArrow(_main_text(anchors), "record_id long, body string").select(F.lit(name).alias("tab"), "record_id", "body")
+    pages = second.select(F.col("page_id").alias("record_id"), "title", "text", *extra(second))
+    of = lambda df, name: df.select("record_id", "title", "text", *extra(df)).mapInArrow(_main_text(anchors), "record_id long, body string").select(F.lit(name).alias("tab"), "record_id", "body")
     return of(first, "crawl_results").unionAll(of(pages, "crawled_pages"))

@@ -93,7 +93,7 @@ class Words:
 class Residuals:
     """One batch of pages without their frames."""
 
-    def __init__(self, reader: FrameReader, texts: pa.Array, titles: list[str | None], links: np.ndarray):
+    def __init__(self, reader: FrameReader, texts: pa.RecordBatch | pa.Array, titles: list[str | None], links: np.ndarray):
         self.pages = len(titles)
         lines, masks = reader(texts, title_keys(titles))
         self.lines, self.masks = lines, masks

@@ -27,10 +27,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.lines import EMPTY, HEADING, PROSE, SHORT, TITLE, VALUE, Lines
+from webloom.session import cut
 
 #: Least share of a site's pages, and least number of pages, that make an anchor.
 #: kinds of keys: whole lines by look, then the three patterns.
@@ -39,6 +40,8 @@ LEAST = {PROSE: 5, TITLE: 4, HEADING: 6, VALUE: 8, SHORT: 3, 10: 5, 11: 5, 12: 6
 #: Anchors up to this number go to every executor as sorted arrays (8 bytes each);
 #: beyond it each page gets its own anchors by a join.
 MAX_BROADCAST_ANCHORS = 4_000_000
+#: Columns that such a join adds to the rows.
+EXTRA = ("known", "groups")
 #: Pages per task in the alignment.
 PAGES_PER_TASK = 4_000
 #: A repeated group follows its anchor in at least this share of the anchor's places,
@@ -62,6 +65,13 @@ class Anchors:
     middles: np.ndarray
     groups: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
 
+    def of_batch(self, batch: pa.RecordBatch | pa.Array) -> Anchors:
+        """These anchors, or those that were joined to the rows of a batch."""
+        if not isinstance(batch, pa.RecordBatch) or "known" not in batch.schema.names:
+            return self
+        known, groups = (np.unique(np.asarray(batch.column(c).flatten().drop_null(), dtype=np.int64)) for c in EXTRA)
+        return Anchors(known, known, known, known, groups)
+
     def of_lines(self, lines: Lines) -> np.ndarray:
         """For each different line the anchor it is an instance of, or 0."""
         found = np.where(_within(lines.keys, self.lines), lines.keys, 0)
@@ -220,7 +230,7 @@ def _token_rows(anchors: Anchors):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = Lines(batch.column("text"))
-            anchor_of = anchors.of_lines(lines)
+            anchor_of = anchors.of_batch(batch).of_lines(lines)
             pairs = [page_tokens(lines.of(i), lines, anchor_of) for i in range(len(lines))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("host_key"), pa.array([t for t, _ in pairs], pa.list_(pa.int64())), pa.array([r for _, r in pairs], pa.list_(pa.int32()))],
@@ -253,7 +263,7 @@ def wrappers(pages: DataFrame, anchors: Anchors, counted: DataFrame) -> DataFram
     Sites of more than PAGES_PER_TASK pages are split over tasks; their partial wrappers
     are summed by anchor.
     """
-    tokens = pages.select("host_key", "text").mapInArrow(_token_rows(anchors), "host_key long, tokens array<long>, runs array<int>")
+    tokens = pages.select("host_key", "text", *extra(pages)).mapInArrow(_token_rows(anchors), "host_key long, tokens array<long>, runs array<int>")
     large = counted.where((F.col("kind") == -1) & (F.col("pages") > PAGES_PER_TASK)).select("host_key", F.ceil(F.col("pages") / PAGES_PER_TASK).alias("tasks"))
     salted = tokens.join(large, "host_key", "left").withColumn("salt", F.pmod(F.xxhash64("tokens", "runs"), F.coalesce("tasks", F.lit(1))))
     parts = salted.select("host_key", "salt", "tokens", "runs").groupBy("host_key", "salt").applyInArrow(_align_site, PART_SCHEMA)
@@ -284,21 +294,68 @@ def with_host_key(df: DataFrame, url: Column, text: str) -> DataFrame:
     return df.select(F.xxhash64(F.coalesce(site_of(url), F.lit(""))).alias("host_key"), F.col(text).alias("text"))
 
 
-def learn(pages: DataFrame) -> Anchors:
+def extra(df: DataFrame) -> list[str]:
+    return [c for c in EXTRA if c in df.columns]
+
+
+def extra_schema(df: DataFrame) -> str:
+    return "".join(f", {c} array<long>" for c in extra(df))
+
+
+def _page_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = Lines(batch.column("text"))
+        both = np.concatenate([lines.keys[:, None], lines.patterns], axis=1)
+        keys = [np.unique(both[lines.of(i)]) for i in range(len(lines))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.asarray(batch.column("text_key")), [len(k) for k in keys])), pa.array(np.concatenate(keys) if keys else [], pa.int64())], names=["text_key", "key"]
+        )
+
+
+def _with_known(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df with the anchors of table(key, grouped) that each text holds, by a join of keys."""
+    keyed = df.drop(*EXTRA).withColumn("text_key", F.xxhash64("text"))
+    keys = keyed.select("text_key", "text").dropDuplicates(["text_key"]).mapInArrow(_page_keys, "text_key long, key long")
+    held = keys.join(table, "key").groupBy("text_key").agg(F.collect_list("key").alias("known"), F.collect_list(F.when(F.col("grouped"), F.col("key"))).alias("groups"))
+    return keyed.join(held, "text_key", "left").drop("text_key")
+
+
+@dataclass
+class Learned:
+    """Anchors for the executors, or, beyond the bound, the table they are joined from."""
+
+    anchors: Anchors
+    table: DataFrame | None = None
+
+    def on(self, df: DataFrame) -> DataFrame:
+        """df(text, ...), with its anchors as columns where they are too many to broadcast."""
+        return df if self.table is None else _with_known(df, self.table)
+
+
+def learn(pages: DataFrame) -> Learned:
     """Anchors and repeated groups of all sites of pages(host_key, text)."""
     counted = key_counts(pages).cache()
     kept = anchors_of(counted).select("kind", "key").distinct()
-    kinds = {k: np.unique(np.array([r.key for r in rows], dtype=np.int64)) for k, rows in _by_kind(kept.collect()).items()}
+    rows = kept.limit(MAX_BROADCAST_ANCHORS + 1).collect()
     none = np.zeros(0, dtype=np.int64)
+    if len(rows) > MAX_BROADCAST_ANCHORS:
+        anchors = Anchors(none, none, none, none)
+        keys = cut(kept.select("key").distinct().withColumn("grouped", F.lit(False)))
+        grouped = repeated_groups(wrappers(_with_known(pages, keys), anchors, counted))
+        table = cut(keys.select("key").join(grouped.select(F.col("anchor").alias("key"), F.lit(True).alias("g")), "key", "left").select("key", F.coalesce("g", F.lit(False)).alias("grouped")))
+        counted.unpersist()
+        return Learned(anchors, table)
+    kinds = {k: np.unique(np.array([r.key for r in part], dtype=np.int64)) for k, part in _by_kind(rows).items()}
     anchors = Anchors(
         lines=np.unique(np.concatenate([none, *[v for k, v in kinds.items() if k < 10]])),
         labels=kinds.get(10, none),
         forms=kinds.get(11, none),
         middles=kinds.get(12, none),
     )
+    # repeated groups are some of the anchors, so their number is bounded with them
     anchors.groups = _sorted_keys(repeated_groups(wrappers(pages, anchors, counted)).collect())
     counted.unpersist()
-    return anchors
+    return Learned(anchors)
 
 
 def _by_kind(rows: list) -> dict[int, list]:
@@ -341,9 +398,10 @@ class FrameReader:
     def __init__(self, anchors: Anchors):
         self.anchors = anchors
 
-    def __call__(self, texts: pa.Array, titles: list[int] | None = None) -> tuple[Lines, list[list[bool]]]:
-        lines = Lines(texts)
-        anchor_of = self.anchors.of_lines(lines)
-        grouped = _within(anchor_of, self.anchors.groups) & (anchor_of != 0)
+    def __call__(self, batch: pa.RecordBatch | pa.Array, titles: list[int] | None = None) -> tuple[Lines, list[list[bool]]]:
+        lines = Lines(batch.column("text") if isinstance(batch, pa.RecordBatch) else batch)
+        anchors = self.anchors.of_batch(batch)
+        anchor_of = anchors.of_lines(lines)
+        grouped = _within(anchor_of, anchors.groups) & (anchor_of != 0)
         masks = [frame_mask(lines.of(i), lines, anchor_of, grouped, titles[i] if titles else 0) for i in range(len(lines))]
         return lines, masks

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.frames import Anchors, FrameReader, learn, site_of
+from webloom.llm.frames import Anchors, FrameReader, extra, extra_schema, learn, site_of
 from webloom.llm.lines import EMPTY, key64
 from webloom.llm.pages import chunks
 from webloom.session import cut
@@ -66,7 +66,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.uint32)
 
 
-def sequences(reader: FrameReader, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def sequences(reader: FrameReader, texts: pa.RecordBatch | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each body's different word sequences, sorted, and where each body's begin."""
     lines, masks = reader(texts)
     framed = np.fromiter((f for m in masks for f in m), dtype=bool, count=len(lines.codes))
@@ -108,7 +108,7 @@ def _classes_and_counts(anchors: Anchors):
         for whole in batches:
             for batch in chunks(whole, "text"):
                 texts = batch.column("text").to_pylist()
-                values, starts = sequences(reader, batch.column("text"))
+                values, starts = sequences(reader, batch)
                 ids, first, second, fresh = [], [], [], np.zeros(len(texts), dtype=bool)
                 for i, (row, text) in enumerate(zip(batch.column("result_id").to_pylist(), texts)):
                     part = values[starts[i] : starts[i + 1]]
@@ -154,7 +154,7 @@ def _sketches(anchors: Anchors, probability: np.ndarray):
         reader = FrameReader(anchors)
         for whole in batches:
             for batch in chunks(whole, "text"):
-                values, starts = sequences(reader, batch.column("text"))
+                values, starts = sequences(reader, batch)
                 chance = _mix(values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.float64) / 2**32
                 drawn = chance < probability[values & np.uint32(COUNTERS - 1)]
                 owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
@@ -209,7 +209,7 @@ def _sequence_rows(anchors: Anchors):
         reader = FrameReader(anchors)
         for whole in batches:
             for batch in chunks(whole, "text"):
-                values, starts = sequences(reader, batch.column("text"))
+                values, starts = sequences(reader, batch)
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("result_id"), lists], names=["result_id", "sequences"])
 
@@ -230,15 +230,16 @@ def _with_ids(texts: DataFrame, ids: DataFrame, keep: bool) -> DataFrame:
     ids = ids.distinct()
     few = ids.limit(MAX_IDS + 1).toArrow().column("result_id").to_numpy()
     if len(few) <= MAX_IDS:
-        return texts.select("result_id", "text").mapInArrow(_filtered(np.sort(few), keep), "result_id long, text string")
-    return texts.select("result_id", "text").join(ids, "result_id", "left_semi" if keep else "left_anti")
+        return texts.select("result_id", "text", *extra(texts)).mapInArrow(_filtered(np.sort(few), keep), "result_id long, text string" + extra_schema(texts))
+    return texts.select("result_id", "text", *extra(texts)).join(ids, "result_id", "left_semi" if keep else "left_anti")
 
 
 def classes(df: DataFrame) -> tuple[DataFrame, Anchors, DataFrame, np.ndarray]:
     """bodies, anchors, class of each row (result_id, class_id) and draw probabilities."""
-    texts = bodies(df)
-    anchors = learn(texts)
-    found = cut(texts.select("result_id", "text").mapInArrow(_classes_and_counts(anchors), "result_id long, key_a long, key_b long, counters binary"))
+    read = bodies(df)
+    learned = learn(read)
+    texts, anchors = learned.on(read), learned.anchors
+    found = cut(texts.select("result_id", "text", *extra(texts)).mapInArrow(_classes_and_counts(anchors), "result_id long, key_a long, key_b long, counters binary"))
     tables = found.where("counters IS NOT NULL").select("key_a", "counters")
     summed = tables.repartition(8).mapInArrow(_add_counters, "key_a long, counters binary").coalesce(1).mapInArrow(_add_counters, "key_a long, counters binary").collect()
     seen, counters = (summed[0].key_a, np.frombuffer(summed[0].counters, dtype=np.int64)) if summed else (0, np.zeros(COUNTERS, np.int64))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import residue, trees
 from webloom.llm.features import FEATURES, Residuals
-from webloom.llm.frames import Anchors, FrameReader, learn, site_of
+from webloom.llm.frames import Anchors, FrameReader, extra, learn, site_of
 from webloom.session import cut
 
 #: Labelled pages per class on which the trees are fitted.
@@ -87,7 +87,7 @@ def _facts(anchors: Anchors, more=None):
         for whole in batches:
             for batch in chunks(whole, "text"):
                 titles = batch.column("title").to_pylist()
-                residual = Residuals(reader, batch.column("text"), titles, batch.column("links").to_numpy(zero_copy_only=False))
+                residual = Residuals(reader, batch, titles, batch.column("links").to_numpy(zero_copy_only=False))
                 x = residual.features().astype(np.float32)
                 noticed, content, _ = residual.notices()
                 share = np.where(content > 0, noticed / np.maximum(1, content), 0)
@@ -114,7 +114,7 @@ def _facts(anchors: Anchors, more=None):
 def page_facts(pages: DataFrame, anchors: Anchors, more=None, field: str = "") -> DataFrame:
     """One row per page (FACT_SCHEMA), kept in the shared folder: several steps read it."""
     schema = FACT_SCHEMA + (", " + field if field else "")
-    return cut(pages.select("page_id", "host_key", "title", "text", "language", "links").mapInArrow(_facts(anchors, more), schema))
+    return cut(pages.select("page_id", "host_key", "title", "text", "language", "links", *extra(pages)).mapInArrow(_facts(anchors, more), schema))
 
 
 def residue_pages(facts: DataFrame) -> DataFrame:
@@ -165,9 +165,10 @@ def spam_pages(facts: DataFrame) -> DataFrame:
 
 def judged(df: DataFrame) -> tuple[DataFrame, Anchors, DataFrame]:
     """crawled_pages as read, the anchors of its sites and the facts of its pages."""
-    pages = crawled(df)
-    anchors = learn(pages)
-    return pages, anchors, page_facts(pages, anchors)
+    read = crawled(df)
+    learned = learn(read)
+    pages = learned.on(read)
+    return pages, learned.anchors, page_facts(pages, learned.anchors)
 
 
 __all__ = ["crawled", "fit_spam", "judged", "page_facts", "residue", "residue_pages", "spam_pages", "spam_scores"]

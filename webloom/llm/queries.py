@@ -28,7 +28,8 @@ def _left_out(facts: DataFrame) -> DataFrame:
 
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
     read = pages.crawled(table(spark, folder, "crawled_pages"))
-    return language.page_facts_with_languages(read, learn(read))
+    learned = learn(read)
+    return language.page_facts_with_languages(learned.on(read), learned.anchors)
 
 
 def _p2_found(spark: SparkSession, folder: str) -> DataFrame:
