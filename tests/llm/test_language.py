@@ -17,7 +17,7 @@ def test_labels(label, code):
 
 @pytest.mark.parametrize(
     "line,listed",
-    [("Home | News | Contact us | Torvix", True), ("Alpha > Docs > How the reader drops the list of the node", True), ("Tags: one, two, three", True), ("STATUS   LOG IN   BLOG   HELP", True), ("Why the reader keeps the list", False), ("Read also: How the reader drops the list, and more", False)],
+    [("Home | News | Contact us | Torvix", True), ("Alpha > Docs > How the reader drops the list of the node", True), ("Tags: one, two, three", True), ("STATUS   LOG IN   BLOG   HELP", True), ("Why the reader keeps the list", False), ("Like it? Pass it on: Mail, Feed, Link!", False), ("Read also: How the reader drops the list, and more", False)],
 )
 def test_lists(line, listed):
     assert language.is_list(line) is listed

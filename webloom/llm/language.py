@@ -34,7 +34,7 @@ LEAST_WORDS = 8
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _MENU = re.compile(r"\s*[|•/·]\s*|[\s ]{3,}")
 _TRAIL = re.compile(r"^\s*[^>»›/]{1,40}\s[>»›/]\s[^>»›/]{1,40}\s[>»›/]\s")
-_TAGS = re.compile(r"^\s*[^\s:][^:]{0,24}:\s*[^\s,]+(?:,\s*[^\s,]+)+\s*$")
+_TAGS = re.compile(r"^\s*[^\s:?]+(?:\s[^\s:?]+)?\s*:\s*[^\s,]+(?:,\s*[^\s,]+)+\s*$")
 _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 
 

@@ -20,7 +20,7 @@ LONG_CHARS = 150
 _BULLET = re.compile(r"^(?:[*•·–»#-]+\s+)+")
 _DATE = re.compile(r"(\S*)\s*\b0([-./])0\2(?:0\b)")
 _MARKS = re.compile(r"[:>»/|›→] ")
-_LABEL = re.compile(r"^(\S+(?: \S+){0,2}?)( ?:| [>»/|›→])(?= )")
+_LABEL = re.compile(r"^([^\s:]+(?: [^\s:]+){0,2}?)( ?:| [>»/|›→])(?= )")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]*\.?$")
 
 
@@ -45,7 +45,7 @@ def shape(norm: str) -> int:
     if norm[0] == "#" and norm[:7].lstrip("#")[:1] == " ":
         return HEADING
     words = norm.count(" ") + 1
-    if norm.rstrip("\"'”»)")[-1:] in ".!?…" and words >= 12:
+    if words >= 12 and norm.rstrip("\"'”»)")[-1:] in ".!?…" or words >= 20 and ". " in norm:
         return PROSE
     if " = " in norm:
         return VALUE

@@ -119,7 +119,7 @@ def page_facts(pages: DataFrame, anchors: Anchors, more=None, field: str = "") -
 
 def residue_pages(facts: DataFrame) -> DataFrame:
     """page_id of the pages with template residue or an error, filler or script notice for content."""
-    return facts.where(F.col("has_text") & ((F.col("placeholders") > 0) | (F.col("notice_share") >= NOTICE_SHARE))).select("page_id").distinct()
+    return facts.where((F.col("placeholders") > 0) | (F.col("has_text") & (F.col("notice_share") >= NOTICE_SHARE))).select("page_id").distinct()
 
 
 def fit_spam(facts: DataFrame) -> trees.Forest:
