@@ -298,10 +298,6 @@ def extra(df: DataFrame) -> list[str]:
     return [c for c in EXTRA if c in df.columns]
 
 
-def extra_schema(df: DataFrame) -> str:
-    return "".join(f", {c} array<long>" for c in extra(df))
-
-
 def _page_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines = Lines(batch.column("text"))

@@ -16,6 +16,7 @@ the input.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.frames import Anchors, FrameReader, extra, extra_schema, learn, site_of
+from webloom.llm.frames import Anchors, FrameReader, extra, learn, site_of
 from webloom.llm.lines import EMPTY, key64
 from webloom.llm.pages import chunks
 from webloom.session import cut
@@ -149,11 +150,11 @@ def draw_probability(counters: np.ndarray, bodies_seen: int) -> np.ndarray:
     return np.clip(share * share, FLOOR, 1.0).astype(np.float32)
 
 
-def _sketches(anchors: Anchors, probability: np.ndarray):
+def _sketches(anchors: Anchors, probability: np.ndarray, chosen: Chosen):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = FrameReader(anchors)
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            for batch in chunks(chosen.of(whole), "text"):
                 values, starts = sequences(reader, batch)
                 chance = _mix(values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.float64) / 2**32
                 drawn = chance < probability[values & np.uint32(COUNTERS - 1)]
@@ -204,11 +205,11 @@ def _ring_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ring_passes(*sides)))
 
 
-def _sequence_rows(anchors: Anchors):
+def _sequence_rows(anchors: Anchors, chosen: Chosen):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = FrameReader(anchors)
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            for batch in chunks(chosen.of(whole), "text"):
                 values, starts = sequences(reader, batch)
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("result_id"), lists], names=["result_id", "sequences"])
@@ -216,22 +217,28 @@ def _sequence_rows(anchors: Anchors):
     return rows
 
 
-def _filtered(ids: np.ndarray, keep: bool):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            inside = np.isin(np.asarray(batch.column("result_id")), ids, assume_unique=False, kind="sort")
-            yield batch.filter(pa.array(inside if keep else ~inside))
+@dataclass
+class Chosen:
+    """Rows by result_id: a sorted array that a worker applies itself, or a join made before."""
 
-    return rows
+    ids: np.ndarray | None
+    keep: bool
+
+    def of(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        if self.ids is None:
+            return batch
+        inside = np.isin(np.asarray(batch.column("result_id")), self.ids, kind="sort")
+        return batch.filter(pa.array(inside if self.keep else ~inside))
 
 
-def _with_ids(texts: DataFrame, ids: DataFrame, keep: bool) -> DataFrame:
-    """The rows whose result_id is, or is not, among ids. Few ids spare the texts a shuffle."""
+def _choice(texts: DataFrame, ids: DataFrame, keep: bool) -> tuple[DataFrame, Chosen]:
+    """Texts whose result_id is, or is not, among ids. Few ids spare the texts a shuffle and a worker of their own."""
     ids = ids.distinct()
     few = ids.limit(MAX_IDS + 1).toArrow().column("result_id").to_numpy()
+    rows = texts.select("result_id", "text", *extra(texts))
     if len(few) <= MAX_IDS:
-        return texts.select("result_id", "text", *extra(texts)).mapInArrow(_filtered(np.sort(few), keep), "result_id long, text string" + extra_schema(texts))
-    return texts.select("result_id", "text", *extra(texts)).join(ids, "result_id", "left_semi" if keep else "left_anti")
+        return rows, Chosen(np.sort(few), keep)
+    return rows.join(ids, "result_id", "left_semi" if keep else "left_anti"), Chosen(None, keep)
 
 
 def classes(df: DataFrame) -> tuple[DataFrame, Anchors, DataFrame, np.ndarray]:
@@ -241,7 +248,8 @@ def classes(df: DataFrame) -> tuple[DataFrame, Anchors, DataFrame, np.ndarray]:
     texts, anchors = learned.on(read), learned.anchors
     found = cut(texts.select("result_id", "text", *extra(texts)).mapInArrow(_classes_and_counts(anchors), "result_id long, key_a long, key_b long, counters binary"))
     tables = found.where("counters IS NOT NULL").select("key_a", "counters")
-    summed = tables.repartition(8).mapInArrow(_add_counters, "key_a long, counters binary").coalesce(1).mapInArrow(_add_counters, "key_a long, counters binary").collect()
+    partial = tables.repartition(8).mapInArrow(_add_counters, "key_a long, counters binary")
+    summed = partial.repartition(1).mapInArrow(_add_counters, "key_a long, counters binary").collect()
     seen, counters = (summed[0].key_a, np.frombuffer(summed[0].counters, dtype=np.int64)) if summed else (0, np.zeros(COUNTERS, np.int64))
     rows = found.where("counters IS NULL").select("result_id", "key_a", "key_b")
     first = rows.groupBy("key_a", "key_b").agg(F.min("result_id").alias("class_id"), F.count("*").alias("n"))
@@ -252,8 +260,8 @@ def classes(df: DataFrame) -> tuple[DataFrame, Anchors, DataFrame, np.ndarray]:
 def class_pairs(texts: DataFrame, anchors: Anchors, shared: DataFrame, probability: np.ndarray) -> DataFrame:
     """Pairs (a, b) of classes, by their least result_id, whose bodies are versions of one text."""
     others = shared.where("result_id <> class_id").select("result_id")
-    singles = _with_ids(texts, others, keep=False)
-    sketches = cut(singles.mapInArrow(_sketches(anchors, probability), "result_id long, segments array<long>, sketch binary"))
+    singles, chosen = _choice(texts, others, keep=False)
+    sketches = cut(singles.mapInArrow(_sketches(anchors, probability, chosen), "result_id long, segments array<long>, sketch binary"))
     keys = sketches.select("result_id", F.explode("segments").alias("key"))
     left, right = keys.select("key", F.col("result_id").alias("a")), keys.select("key", F.col("result_id").alias("b"))
     candidates = left.join(right, "key").where("a < b").select("a", "b").distinct()
@@ -263,7 +271,8 @@ def class_pairs(texts: DataFrame, anchors: Anchors, shared: DataFrame, probabili
     )
     near = cut(drawn.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_ring_filter, "a long, b long"))
     wanted = near.select(F.col("a").alias("result_id")).union(near.select("b"))
-    exact = _with_ids(texts, wanted, keep=True).mapInArrow(_sequence_rows(anchors), "result_id long, sequences array<int>")
+    paired, chosen = _choice(texts, wanted, keep=True)
+    exact = paired.mapInArrow(_sequence_rows(anchors, chosen), "result_id long, sequences array<int>")
     pairs = near.join(exact.select(F.col("result_id").alias("a"), F.col("sequences").alias("sa")), "a").join(
         exact.select(F.col("result_id").alias("b"), F.col("sequences").alias("sb")), "b"
     )

@@ -41,7 +41,7 @@ def crawled(df: DataFrame) -> DataFrame:
     ).withColumn("links", F.greatest("links", F.lit(0)))
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with a bounded number of characters each (at least one row)."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
     if sizes.sum() <= most:
