@@ -111,3 +111,16 @@ def test_back_off(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").write.parquet(f"{tmp_path}/in")
     got = ingest.run_to_end(ingest.back_off(ingest.stream_of(spark, f"file://{tmp_path}/in")), "update").collect()
     assert [(r.host, r.pause, r.parked) for r in got] == [(1, 32.0, False)]
+
+
+def test_catalog_refuses_a_stale_activation(spark, tmp_path):
+    from webloom.operators.hooks import Catalog
+
+    catalog = Catalog(spark, f"file://{tmp_path}/models")
+    first = catalog.activate({"w": 1}, None)
+    with pytest.raises(ValueError):
+        catalog.activate({"w": 2}, None)
+    with pytest.raises(ValueError):
+        catalog.rollback()
+    catalog.activate({"w": 2}, first)
+    assert catalog.rollback() == 3 and catalog.history().count() == 3

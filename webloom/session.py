@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
@@ -59,15 +60,27 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="webloom-code-")) / "webloom_code.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
         for path in sorted(root.rglob("*")):
             if path.suffix in {".py", ".npz"}:
                 archive.write(path, str(path.relative_to(root.parent)))
-    context.addPyFile(str(target))
+    context.addPyFile(_stored(spark, f"code-{context.applicationId}/webloom_code.zip", packed.getvalue()))
     _SHIPPED.add(context.applicationId)
 
 
+def _stored(spark: SparkSession, name: str, content: bytes) -> str:
+    """The address of a small file in the shared folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return path.toString()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
