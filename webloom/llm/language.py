@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.features import Residuals
 from webloom.llm.frames import Anchors
-from webloom.llm.pages import LANGUAGE_FIELD, page_facts
+from webloom.llm.pages import LANGUAGE_FIELD, hashed_sample, page_facts
 from webloom.llm.words import FUNCTION_WORDS, WORD, language_of_label
 
 LANGUAGES = tuple(FUNCTION_WORDS)
@@ -89,8 +89,8 @@ def _varied(sentences: list[str]) -> list[str]:
 
 def fit_dictionaries(pages: DataFrame) -> dict[str, bytes]:
     """Dictionaries from the pages of least hash, SAMPLE_PAGES at most."""
-    ids = pages.where(F.col("text").isNotNull()).select(F.xxhash64("page_id").alias("h"), "text").orderBy("h").limit(SAMPLE_PAGES)
-    return dictionaries([r.text for r in ids.select("text").collect()])
+    rows = hashed_sample(pages.select("page_id", "text"), "page_id", SAMPLE_PAGES, pages.count())
+    return dictionaries([r.text for r in rows if r.text])
 
 
 _CYRILLIC = re.compile("[\u0400-\u04ff]")

@@ -122,12 +122,26 @@ def residue_pages(facts: DataFrame) -> DataFrame:
     return facts.where((F.col("placeholders") > 0) | (F.col("has_text") & (F.col("notice_share") >= NOTICE_SHARE))).select("page_id").distinct()
 
 
+def hashed_sample(df: DataFrame, key: str, most: int, rows: int) -> list:
+    """The rows of least key hash, at most `most`, of a table of `rows` rows.
+
+    The hash is cut at the share that is wanted, so that tasks send the sample only; an
+    ordered limit would have each of them send as many rows as the whole sample.
+    """
+    marked = df.withColumn("sample_hash", F.xxhash64(key))
+    share = min(1.0, (1.2 * most + 50) / max(1, rows))
+    if share < 1.0:
+        marked = marked.where(F.col("sample_hash") < int((2 * share - 1) * (1 << 63)))
+    return sorted(marked.collect(), key=lambda r: (r.sample_hash, r[key]))[:most]
+
+
 def fit_spam(facts: DataFrame) -> trees.Forest:
     """Trees from the weak labels of a bounded sample, the pages of least hash of either class."""
+    counts = {r.weak: r["count"] for r in facts.groupBy("weak").count().collect()}
     picked = []
     for label in (0, 1):
-        part = facts.where(F.col("weak") == label).select("features", F.xxhash64("page_id").alias("h"), "page_id").orderBy("h", "page_id").limit(TRAINING_PAGES)
-        picked.append(np.array([r.features for r in part.select("features").collect()], dtype=np.float32).reshape(-1, len(FEATURES)))
+        part = hashed_sample(facts.where(F.col("weak") == label).select("page_id", "features"), "page_id", TRAINING_PAGES, counts.get(label, 0))
+        picked.append(np.array([r.features for r in part], dtype=np.float32).reshape(-1, len(FEATURES)))
     x = np.concatenate(picked)
     y = np.r_[np.zeros(len(picked[0])), np.ones(len(picked[1]))]
     return trees.fit(x, y)
