@@ -46,6 +46,16 @@ def test_pairs_against_brute_force(spark):
     assert want and len(got & want) >= 0.97 * len(want) and got <= want
 
 
+def test_one_edited_group_of_a_third_of_the_rows(spark):
+    rng = random.Random(21)
+    base = [f"b{rng.randrange(9999)}" for _ in range(200)]
+    texts = [" ".join(edited(rng, base, 0.08)) for _ in range(80)] + [" ".join(f"w{rng.randrange(9999)}" for _ in range(200)) for _ in range(160)]
+    rows = [(i, f"https://h{i % 40}.test/{i}", t, t) for i, t in enumerate(texts)]
+    want = brute(rows)
+    got = {tuple(r) for r in near.version_pairs(cases.results_frame(spark, [r[:3] for r in rows])).collect()}
+    assert len(want) > 2000 and len(got & want) >= 0.98 * len(want) and got <= want
+
+
 def test_groups(spark):
     rows = versions()
     frame = cases.results_frame(spark, [r[:3] for r in rows])

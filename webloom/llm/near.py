@@ -1,9 +1,8 @@
 """Versions of one text: bodies that share at least 45 in a hundred of their three-word sequences.
 
 1. Bodies (frames.py) with equal sequence sets form a class; only one row of a class goes on.
-2. A count table of fixed size tells how common sequences are; common ones are drawn into
-   a body's sketch with a lower, hash-decided probability, alike in all bodies.
-3. A sketch has SEGMENTS x WIDTH minimal hashes. Candidates agree in a whole segment; the
+2. A body's sketch has SEGMENTS x WIDTH minimal hashes over all its sequences, common or rare.
+3. Candidates agree in a whole segment; the
    pigeonring filter then walks the ring from such a segment and drops a pair as soon as
    the differences so far exceed the proportional budget l * LIMIT / SEGMENTS; what is left
    passes the full Hamming check against LIMIT.
@@ -36,13 +35,9 @@ SEGMENTS, WIDTH = 56, 3
 #: Hamming limit over the SEGMENTS * WIDTH hashes; a pair at SIMILARITY stays far below it.
 LIMIT = 140
 CHAIN = 12
-#: Counters of the commonness table (4 bytes each), whatever the size of the input.
-COUNTERS = 1 << 18
-#: Digests of a partition's bodies that are remembered while counting (16 bytes each).
-KNOWN = 1_000_000
 #: Up to this number ids go to the executors as a sorted array (8 bytes each); beyond it rows are joined.
 MAX_IDS = 1_000_000
-#: Least probability with which a sequence is drawn into a sketch.
+#: Least value of draw_probability.
 FLOOR = 0.03
 
 _RNG = np.random.default_rng(20240611)
@@ -94,55 +89,34 @@ def sequences(reader: FrameReader, texts: pa.RecordBatch | pa.Array) -> tuple[np
     return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), starts
 
 
-def _classes_and_counts(anchors: Anchors):
-    """Rows (result_id, class key) and, at a partition's end, its part of the count table.
-
-    A body that comes back in the same partition counts once, so that copies of one text
-    do not make its sequences look common.
-    """
+def _classes(anchors: Anchors):
+    """Rows (result_id, class key)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = FrameReader(anchors)
-        counters = np.zeros(COUNTERS, dtype=np.int32)
-        schema = pa.schema([("result_id", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("counters", pa.binary())])
-        seen, known = 0, set()
+        schema = pa.schema([("result_id", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64())])
         for whole in batches:
             for batch in chunks(whole, "text"):
                 texts = batch.column("text").to_pylist()
                 values, starts = sequences(reader, batch)
-                ids, first, second, fresh = [], [], [], np.zeros(len(texts), dtype=bool)
+                ids, first, second = [], [], []
                 for i, (row, text) in enumerate(zip(batch.column("result_id").to_pylist(), texts)):
                     part = values[starts[i] : starts[i + 1]]
                     if not len(part) and not (text and text.strip()):
                         continue
-                    digest = xxhash.xxh3_128_digest(part.tobytes() if len(part) else b"text " + text.encode())
-                    a, b = np.frombuffer(digest, dtype=np.int64)
-                    fresh[i] = digest not in known
-                    if len(known) < KNOWN:
-                        known.add(digest)
+                    a, b = np.frombuffer(xxhash.xxh3_128_digest(part.tobytes() if len(part) else b"text " + text.encode()), dtype=np.int64)
                     ids.append(row), first.append(int(a)), second.append(int(b))
-                seen += int(fresh.sum())
-                drawn = np.repeat(fresh, np.diff(starts))
-                counters += np.bincount(values[drawn] & np.uint32(COUNTERS - 1), minlength=COUNTERS).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.nulls(len(ids), pa.binary())], schema=schema)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([seen], pa.int64()), pa.nulls(1, pa.int64()), pa.array([counters.tobytes()])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], schema=schema)
 
     return rows
 
 
-def _add_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, seen = np.zeros(COUNTERS, dtype=np.int64), 0
-    for batch in batches:
-        for n, part in zip(batch.column("key_a").to_pylist(), batch.column("counters").to_pylist()):
-            total += np.frombuffer(part, dtype=np.int32 if len(part) == 4 * COUNTERS else np.int64)
-            seen += n
-    if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()])], names=["key_a", "counters"])
-
-
 def draw_probability(counters: np.ndarray, bodies_seen: int) -> np.ndarray:
-    """With which probability a sequence in each counter is drawn; rare: 1, in every body: FLOOR."""
+    """With which probability a sequence in each counter would be drawn; rare: 1, in every body: FLOOR.
+
+    Sketches do not use it: what a large group of versions shares is common, and drawing it
+    less often loses their pairs. It is left for its test.
+    """
     rare = max(1.0, float(np.median(counters)))
     n = max(float(bodies_seen), 2.0)
     top = max(np.log(n / min(rare, n / 2)), 1e-9)
@@ -150,23 +124,18 @@ def draw_probability(counters: np.ndarray, bodies_seen: int) -> np.ndarray:
     return np.clip(share * share, FLOOR, 1.0).astype(np.float32)
 
 
-def _sketches(anchors: Anchors, probability: np.ndarray, chosen: Chosen):
+def _sketches(anchors: Anchors, chosen: Chosen):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = FrameReader(anchors)
         for whole in batches:
             for batch in chunks(chosen.of(whole), "text"):
                 values, starts = sequences(reader, batch)
-                chance = _mix(values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.float64) / 2**32
-                drawn = chance < probability[values & np.uint32(COUNTERS - 1)]
                 owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-                none = np.bincount(owner[drawn], minlength=len(starts) - 1) == 0
-                drawn |= none[owner] if len(owner) else drawn
-                owner, kept = owner[drawn], values[drawn]
                 have, first = np.unique(owner, return_index=True)
                 sketch = np.empty((len(have), SEGMENTS * WIDTH), dtype=np.uint32)
                 if len(have):
                     for k in range(SEGMENTS * WIDTH):
-                        hashed = (kept ^ _ADD[k]) * _MULTIPLY[k]
+                        hashed = (values ^ _ADD[k]) * _MULTIPLY[k]
                         sketch[:, k] = np.minimum.reduceat(hashed, first)
                 ids = np.asarray(batch.column("result_id"))[have]
                 parts = sketch.reshape(-1, SEGMENTS, WIDTH).astype(np.uint64)
@@ -241,27 +210,22 @@ def _choice(texts: DataFrame, ids: DataFrame, keep: bool) -> tuple[DataFrame, Ch
     return rows.join(ids, "result_id", "left_semi" if keep else "left_anti"), Chosen(None, keep)
 
 
-def classes(df: DataFrame) -> tuple[DataFrame, Anchors, DataFrame, np.ndarray]:
-    """bodies, anchors, class of each row (result_id, class_id) and draw probabilities."""
+def classes(df: DataFrame) -> tuple[DataFrame, Anchors, DataFrame]:
+    """bodies, anchors and class of each row that shares its class (result_id, class_id)."""
     read = bodies(df)
     learned = learn(read)
     texts, anchors = learned.on(read), learned.anchors
-    found = cut(texts.select("result_id", "text", *extra(texts)).mapInArrow(_classes_and_counts(anchors), "result_id long, key_a long, key_b long, counters binary"))
-    tables = found.where("counters IS NOT NULL").select("key_a", "counters")
-    partial = tables.repartition(8).mapInArrow(_add_counters, "key_a long, counters binary")
-    summed = partial.repartition(1).mapInArrow(_add_counters, "key_a long, counters binary").collect()
-    seen, counters = (summed[0].key_a, np.frombuffer(summed[0].counters, dtype=np.int64)) if summed else (0, np.zeros(COUNTERS, np.int64))
-    rows = found.where("counters IS NULL").select("result_id", "key_a", "key_b")
+    rows = cut(texts.select("result_id", "text", *extra(texts)).mapInArrow(_classes(anchors), "result_id long, key_a long, key_b long"))
     first = rows.groupBy("key_a", "key_b").agg(F.min("result_id").alias("class_id"), F.count("*").alias("n"))
     shared = rows.join(first.where("n > 1"), ["key_a", "key_b"]).select("result_id", "class_id")
-    return texts, anchors, cut(shared), draw_probability(counters, seen)
+    return texts, anchors, cut(shared)
 
 
-def class_pairs(texts: DataFrame, anchors: Anchors, shared: DataFrame, probability: np.ndarray) -> DataFrame:
+def class_pairs(texts: DataFrame, anchors: Anchors, shared: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes, by their least result_id, whose bodies are versions of one text."""
     others = shared.where("result_id <> class_id").select("result_id")
     singles, chosen = _choice(texts, others, keep=False)
-    sketches = cut(singles.mapInArrow(_sketches(anchors, probability, chosen), "result_id long, segments array<long>, sketch binary"))
+    sketches = cut(singles.mapInArrow(_sketches(anchors, chosen), "result_id long, segments array<long>, sketch binary"))
     keys = sketches.select("result_id", F.explode("segments").alias("key"))
     left, right = keys.select("key", F.col("result_id").alias("a")), keys.select("key", F.col("result_id").alias("b"))
     candidates = left.join(right, "key").where("a < b").select("a", "b").distinct()
@@ -289,8 +253,8 @@ def version_pairs(df: DataFrame) -> DataFrame:
     their body has fewer than three words. Extra columns are ignored; an empty table gives
     an empty result.
     """
-    texts, anchors, shared, probability = classes(df)
-    pairs = class_pairs(texts, anchors, shared, probability)
+    texts, anchors, shared = classes(df)
+    pairs = class_pairs(texts, anchors, shared)
     inside = shared.select("class_id", F.col("result_id").alias("x")).join(shared.select("class_id", F.col("result_id").alias("y")), "class_id").where("x < y").select("x", "y")
     left = shared.select(F.col("class_id").alias("a"), F.col("result_id").alias("x"))
     right = shared.select(F.col("class_id").alias("b"), F.col("result_id").alias("y"))
@@ -304,8 +268,8 @@ def version_groups(df: DataFrame) -> DataFrame:
     Groups are the connected parts of the version pairs between classes; rows of one class
     share its links. Labels spread along the pairs until none changes.
     """
-    texts, anchors, shared, probability = classes(df)
-    pairs = cut(class_pairs(texts, anchors, shared, probability))
+    texts, anchors, shared = classes(df)
+    pairs = cut(class_pairs(texts, anchors, shared))
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     size = shared.groupBy(F.col("class_id").alias("b")).agg(F.count("*").alias("rows"))
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
