@@ -124,3 +124,23 @@ def test_catalog_refuses_a_stale_activation(spark, tmp_path):
         catalog.rollback()
     catalog.activate({"w": 2}, first)
     assert catalog.rollback() == 3 and catalog.history().count() == 3
+
+
+def test_quality_gate_judges_every_text(spark):
+    rng = random.Random(4)
+    names = [f"{a}{b}" for a in ("stad", "fluss", "wagen", "garten", "wolke") for b in ("tor", "mann", "licht", "berg", "haus", "weg", "bach", "feld", "rad", "turm")]
+    plain = rng.sample(names, 50) + rng.sample(names, 50)
+    varied = " ".join(["und", "nicht"] + plain)
+    rows = [
+        (1, "de", varied),
+        (2, None, varied),
+        (3, "русский", " ".join(["и", "не"] + [f"с{w}" for w in plain])),
+        (4, "de", " ".join(plain)),
+        (5, "de", "der rote Wagen " * 40),
+        (6, "fr", varied + " " + " ".join(names[:12]) + " " + " ".join(names[:12])),
+        (7, "zh", "这是一个没有空格的句子"),
+        (8, None, None),
+        (9, "pt", "Lorem Ipsum dolor"),
+    ]
+    got = {r.doc_id: r.rule for r in content.quality_gate(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert got == {1: "ok", 2: "ok", 3: "ok", 4: "no-function-words", 5: "top-ngram", 6: "repeated-ngram", 7: "ok", 8: "too-few-words", 9: "lorem-ipsum"}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,27 @@ from webloom.session import table
 FUNCTION_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
 
 
+#: Function words of five languages, as the reference lists them.
+GATE_WORDS = frozenset(
+    (
+        "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее её мне было вот от меня еще ещё нет о из ему теперь когда "
+        "даже ну вдруг ли если уже или ни быть был него до вас нибудь опять уж вам ведь там потом себя ничего ей может они тут где есть надо ней для мы тебя их "
+        "чем была сам чтоб без будто чего раз тоже себе под будет ж тогда кто этот того потому этого какой какое какая какие совсем ним здесь этом один почти "
+        "мой тем чтобы нее неё сейчас были куда зачем всех никогда можно при наконец два об другой хоть после над больше тот через эти нас про всего них много "
+        "разве три эту моя впрочем хорошо свою этой перед иногда лучше чуть том нельзя такой такое такая такие им более всегда конечно всю между это a an and "
+        "are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with what which who how when where "
+        "why from has have had were been its about can do does did you your we our i me my he she his her them so than der die das den dem des und oder aber "
+        "ein eine einer eines einem einen mit von zu im am um auf aus bei nach über für ist sind war waren wird werden nicht auch noch nur wie wo wer wann "
+        "warum ich du er sie es wir ihr sich dass daß als le la les un une et ou mais dans sur avec sans pour par au aux de ce cette ces que qui quoi quand est "
+        "sont était je tu il elle nous vous ils elles ne pas plus se sa son ses leur comme el los las uno unos unas y o pero en con sin para por lo al era fue "
+        "yo tú él ella nosotros ellos qué cómo cuándo dónde porque muy más menos como si su sus mi mis te nos ya también "
+    ).split()
+)
+#: The largest share of characters in the most frequent word sequence, and in all that repeat, by length.
+TOP_SHARES = {2: 0.20, 3: 0.18, 4: 0.16}
+REPEATED_SHARES = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+
+
 def quality_rule(text: Column, least: int = 50, most: int = 100_000) -> Column:
     """The first rule a text fails, or "ok"."""
     words = F.filter(F.split(F.trim(text), "\\s+"), lambda w: w != "")
@@ -51,6 +74,70 @@ def f31_quality_gate(spark, folder):
     return english.select("doc_id", quality_rule(F.col("text")).alias("rule"))
 
 
+def word_rule(words: list[str]) -> str:
+    """The first rule of shape that a text's words fail, or ""."""
+    n = len(words)
+    if n < 50:
+        return "too-few-words"
+    if n > 100_000:
+        return "too-many-words"
+    if not 3 <= sum(map(len, words)) / n <= 10:
+        return "word-length"
+    if sum("#" in w or "…" in w or "..." in w for w in words) / n > 0.1:
+        return "symbol-ratio"
+    if sum(any(map(str.isalpha, w)) for w in words) / n < 0.8:
+        return "non-alphabetic"
+    functions = sum(w.strip(".,!?…:;\"'()[]«»—-").lower() in GATE_WORDS for w in words)
+    return "no-function-words" if functions < 2 else ""
+
+
+def repetition_rule(words: list[str]) -> str:
+    """The rule of repetition that a text's words fail, or "". Sequences get numbers, so none is mistaken for another."""
+    numbers: dict[str, int] = {}
+    code = np.array([numbers.setdefault(w, len(numbers)) for w in words])
+    ends = np.r_[0, np.cumsum([len(w) for w in words])]
+    gram = code
+    for n in range(2, 11):
+        if len(words) < n:
+            break
+        _, at, gram, times = np.unique(gram[: len(words) - n + 1] * len(words) + code[n - 1 :], return_index=True, return_inverse=True, return_counts=True)
+        chars = times * (ends[at + n] - ends[at])
+        if n in TOP_SHARES and chars.max() / ends[-1] > TOP_SHARES[n]:
+            return "top-ngram"
+        if n in REPEATED_SHARES and chars[times > 1].sum() / ends[-1] > REPEATED_SHARES[n]:
+            return "repeated-ngram"
+    return ""
+
+
+def _gate(batches):
+    for batch in batches:
+        rules = []
+        for text, unsegmented in zip(batch.column("text").to_pylist(), batch.column("unsegmented").to_pylist()):
+            if "lorem ipsum" in text.lower():
+                rules.append("lorem-ipsum")
+                continue
+            words = text.split()
+            rules.append("ok" if unsegmented else word_rule(words) or repetition_rule(words) or "ok")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rules, pa.string())], names=["doc_id", "rule"])
+
+
+def quality_gate(documents: DataFrame) -> DataFrame:
+    """doc_id and the first rule that each text fails, or "ok": texts of every language and label.
+
+    Texts in scripts that do not part words pass, as counts of words say nothing of them.
+    """
+    letters = F.regexp_count("text", F.lit("\\p{L}"))
+    joined = F.lit("[\\p{L}&&[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]]")
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.withColumn("unsegmented", F.regexp_like("text", joined) & (F.regexp_count("text", joined) > 0.3 * letters)).mapInArrow(_gate, "doc_id long, rule string")
+
+
+@query()
+def f31_quality_gate_all(spark, folder):
+    """The whole gate over all documents; f31_quality_gate shows the rules that its twin has."""
+    return quality_gate(documents_of(spark, folder))
+
+
 def ngram_shares(documents: DataFrame, n: int, key: str = "doc_id", body: str = "text") -> DataFrame:
     """Share of characters in the most frequent n-gram, and in all n-grams that repeat."""
     words = documents.select(key, T.tokens(F.col(body)).alias("w")).where(F.size("w") >= n)
