@@ -1,21 +1,19 @@
-"""Page frames: wrappers of sites, and the main body they leave.
+"""Page frames by line counting per site, and the main body they leave.
 
-The wrapper of a site is a union-free expression over lines: fixed lines, most of them
-optional, text slots, and repeated slots (the links below a sidebar's heading). It is
-found in two steps over all pages:
+Counts decide what is frame; they stand in for the inference of a wrapper (README, problem 3).
 
 1. Anchors. Per site, lines and line patterns are counted over the pages that have a
    body of their own; what enough pages share is an anchor. A line pattern is itself a
    small union-free expression (a label and a slot, a slot and a date, a slot between
    two fixed ends). Counts are combined before they are shuffled.
-2. Alignment. Page by page, a site's anchor sequences are aligned with the wrapper so
-   far (longest increasing subsequence of its positions). Anchors without a partner
-   become optional parts, gaps become text slots, and slots that repeat after the same
-   anchor become repeated groups. Pages are split over tasks by a salt; partial wrappers
+2. Repeated groups. Per anchor, the title-like lines right behind it are counted; anchors
+   that mostly have several head a repeated group (the links below a sidebar's heading).
+   The pages' anchor sequences are aligned on the way, but the order and the optional
+   parts found so decide nothing. Pages are split over tasks by a salt; partial counts
    are summed per anchor.
 
 Anchors of any site count on every site, since pages also come with the frame of
-another one. Applying the wrapper to a page needs only the page and the anchors.
+another one. A page needs only its lines and the anchors.
 """
 
 from __future__ import annotations
