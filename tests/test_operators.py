@@ -144,3 +144,20 @@ def test_quality_gate_judges_every_text(spark):
     ]
     got = {r.doc_id: r.rule for r in content.quality_gate(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
     assert got == {1: "ok", 2: "ok", 3: "ok", 4: "no-function-words", 5: "top-ngram", 6: "repeated-ngram", 7: "ok", 8: "too-few-words", 9: "lorem-ipsum"}
+
+
+def test_content_clusters_join_near_duplicates(spark):
+    words = [f"w{i}" for i in range(120)]
+    near = words[:60] + ["other"] + words[61:]
+    rows = [
+        (1, "https://a.test/1", " ".join(words)),
+        (2, "https://b.test/2", " ".join(near)),
+        (3, None, " ".join(words)),
+        (4, "https://a.test/4", " ".join(words[:40] + [f"x{i}" for i in range(80)])),
+        (5, "https://a.test/4", "short text of its own"),
+        (6, None, None),
+        (7, None, "!!!"),
+        (8, None, "???"),
+    ]
+    got = {r.page_id: r.cluster for r in graph.content_clusters(spark.createDataFrame(rows, "page_id long, url string, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}

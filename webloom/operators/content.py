@@ -13,7 +13,7 @@ from webloom.functions import text as T
 from webloom.functions import urls as U
 from webloom.operators.postings import documents_of, vocabulary
 from webloom.registry import query
-from webloom.session import table
+from webloom.session import cut, table
 
 #: Function words a readable English page holds at least two of.
 FUNCTION_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
@@ -253,13 +253,22 @@ def duplicate_pairs(documents: DataFrame, key: str = "doc_id", body: str = "text
     decide. Bands keep buckets small whatever the number of texts, no bucket is capped.
     """
     texts = documents.where(F.col(body).isNotNull()).select(F.xxhash64(body).alias("h"), F.col(key), F.col(body)).groupBy("h").agg(F.min(key).alias(key), F.first(body).alias(body))
-    words = texts.select(key, T.tokens(F.col(body)).alias("w"))
-    sets = words.select(key, shingles(F.col("w"), width).alias("s"))
-    minima = exploded(sets, key, "s", "x").groupBy(key).agg(*[F.min(F.xxhash64("x", F.lit(i))).alias(f"m{i}") for i in range(rows * bands)])
+
+    def sets(rows: DataFrame) -> DataFrame:
+        words = rows.select(key, T.tokens(F.col(body)).alias("w"))
+        return words.select(key, shingles(F.col("w"), width).alias("s"))
+
+    minima = exploded(sets(texts), key, "s", "x").groupBy(key).agg(*[F.min(F.xxhash64("x", F.lit(i))).alias(f"m{i}") for i in range(rows * bands)])
     banded = [F.xxhash64(F.lit(b), *[F.col(f"m{i}") for i in range(b * rows, (b + 1) * rows)]) for b in range(bands)]
-    keyed = minima.select(key, F.explode(F.array(*banded)).alias("band"))
+    # both sides of the join read the bands, which are dear to work out
+    keyed = cut(minima.select(key, F.explode(F.array(*banded)).alias("band")))
     pairs = keyed.select("band", F.col(key).alias("a")).join(keyed.select("band", F.col(key).alias("b")), "band").where("a < b").select("a", "b").distinct()
-    left, right = (sets.select(F.col(key).alias(n), F.col("s").alias("s" + n)) for n in "ab")
+    pairs = cut(pairs)
+    wanted = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
+    # cut before the sequences are worked out, so that texts outside of pairs are spared
+    chosen = cut(texts.join(wanted, key, "left_semi"))
+    compared = cut(sets(chosen))
+    left, right = (compared.select(F.col(key).alias(n), F.col("s").alias("s" + n)) for n in "ab")
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
+from webloom.operators.content import duplicate_pairs
 from webloom.registry import query
 from webloom.session import cut, table
 
@@ -183,12 +184,21 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
+def content_clusters(pages: DataFrame) -> DataFrame:
+    """page_id and cluster of every page: connected parts over equal text, equal address and near-duplicate text."""
+    alone = pages.select(F.col("page_id").alias("a"), F.col("page_id").alias("b"))
+    texts = pages.where(F.length("text") > 0)
+    hashed = [
+        rows.select(F.sha2(F.encode(c, "utf-8"), 256).alias("k"), F.col("page_id").alias("b")) for c, rows in (("text", texts), ("url", pages.where("url IS NOT NULL")))
+    ]
+    equal = [rows.join(rows.groupBy("k").agg(F.min("b").alias("a")), "k").select("a", "b") for rows in hashed]
+    # texts without a token have no sequences to be alike in
+    near = duplicate_pairs(texts.where(F.col("text").rlike("[\\p{L}\\p{Nd}]")), "page_id").select("a", "b")
+    pairs = alone.union(equal[0]).union(equal[1]).union(near)
+    return components(pairs).select(F.col("node").alias("page_id"), F.col("label").alias("cluster"))
+
+
 @query()
 def g4_content_clusters(spark, folder):
-    """Pages of equal content and equal address joined to clusters; the least page represents one."""
-    pages = table(spark, folder, "crawled_pages").where("url IS NOT NULL")
-    by_text = pages.where(F.length("text") > 0).groupBy(F.sha2(F.encode("text", "utf-8"), 256).alias("k")).agg(F.min("page_id").alias("a"))
-    by_url = pages.groupBy(F.sha2(F.encode("url", "utf-8"), 256).alias("k")).agg(F.min("page_id").alias("a"))
-    first = pages.where(F.length("text") > 0).select(F.sha2(F.encode("text", "utf-8"), 256).alias("k"), F.col("page_id").alias("b")).join(by_text, "k").select("a", "b")
-    second = pages.select(F.sha2(F.encode("url", "utf-8"), 256).alias("k"), F.col("page_id").alias("b")).join(by_url, "k").select("a", "b")
-    return components(first.union(second)).select(F.col("node").alias("page_id"), F.col("label").alias("cluster"))
+    """Pages of equal or near-duplicate content (five words, 0.8) and equal address joined to clusters; the least page represents one."""
+    return content_clusters(table(spark, folder, "crawled_pages"))
