@@ -161,3 +161,23 @@ def test_content_clusters_join_near_duplicates(spark):
     ]
     got = {r.page_id: r.cluster for r in graph.content_clusters(spark.createDataFrame(rows, "page_id long, url string, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
+
+
+def test_fingerprint_counts_every_shingle(spark):
+    rng = random.Random(8)
+    head = [f"w{i}" for i in range(4200)]
+    texts = [" ".join(head + [f"{c}{rng.randrange(10**9)}" for _ in range(70_000)]) for c in "ab"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in content.fingerprints(rows).collect()}
+    hashes = rows.select("doc_id", content.T.word_tokens(F.col("text")).alias("w")).select("doc_id", content.shingles(F.col("w")).alias("s")).collect()
+    for r in hashes:
+        bits = (np.array(r.s, dtype=np.int64).view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+        want = sum(1 << i for i, n in enumerate(bits.sum(axis=0)) if 2 * n > len(r.s))
+        assert got[r.doc_id] % 2**64 == want
+    assert len(hashes[0].s) > 65_536 and got[0] != got[1]
+
+
+def test_edits_of_whole_texts(spark):
+    rows = [(1, "привет мир", "пример мир"), (2, "a" * 60, "a" * 59 + "b"), (3, None, "x"), (4, "x", None)]
+    got = {r.doc_id: r.edits for r in content.title_edits(spark.createDataFrame(rows, "doc_id long, title string, text string")).collect()}
+    assert got == {1: 2, 2: 1, 4: None}

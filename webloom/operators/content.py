@@ -210,22 +210,28 @@ def exploded(rows: DataFrame, key: str, values: str, name: str) -> DataFrame:
 
 
 def simhash(rows: DataFrame, key: str, hashes: str) -> DataFrame:
-    """64-bit majority fingerprint of an array of hashes."""
+    """64-bit majority fingerprint of an array of hashes, however many."""
     bits = exploded(rows, key, hashes, "h")
-    # four bits of a hash are spread over the 16-bit lanes of one long, so that 16 sums count 64 bits
-    lanes = [F.sum((F.shiftrightunsigned("h", 4 * i).bitwiseAND(15) * 0x200040008001).bitwiseAND(0x1000100010001)).alias(f"l{i}") for i in range(16)]
+    # two bits of a hash are spread over the 32-bit lanes of one long, so that 32 sums count 64 bits
+    lanes = [F.sum((F.shiftrightunsigned("h", 2 * i).bitwiseAND(3) * 0x80000001).bitwiseAND(0x100000001)).alias(f"l{i}") for i in range(32)]
     summed = bits.groupBy(key).agg(F.count("*").alias("n"), *lanes)
     parts = [
-        F.when(2 * F.shiftrightunsigned(f"l{i // 4}", 16 * (i % 4)).bitwiseAND(65535) > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+        F.when(2 * F.shiftrightunsigned(f"l{i // 2}", 32 * (i % 2)).bitwiseAND(0xFFFFFFFF) > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
         for i in range(64)
     ]
     return summed.select(key, reduce(lambda a, b: a.bitwiseOR(b), parts).alias("fingerprint"))
 
 
+def fingerprints(documents: DataFrame) -> DataFrame:
+    """doc_id and fingerprint over all shingles of the text."""
+    words = documents.select("doc_id", T.word_tokens(F.col("text")).alias("w"))
+    return simhash(words.select("doc_id", shingles(F.col("w")).alias("s")), "doc_id", "s")
+
+
 @query()
 def c22_simhash(spark, folder):
-    words = documents_of(spark, folder).select("doc_id", T.word_tokens(F.col("text")).alias("w"))
-    return simhash(words.select("doc_id", F.slice(shingles(F.col("w")), 1, 4096).alias("s")), "doc_id", "s")
+    """All shingles count; the reference stops at 4096."""
+    return fingerprints(documents_of(spark, folder))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -316,6 +322,17 @@ def c18_levenshtein(spark, folder):
     return documents.where("title IS NOT NULL").select("doc_id", F.levenshtein("title", "text").alias("edits"))
 
 
+def title_edits(documents: DataFrame) -> DataFrame:
+    """doc_id and the edits between the whole title and the whole text, by characters."""
+    return documents.where("title IS NOT NULL").select("doc_id", F.levenshtein("title", "text").alias("edits"))
+
+
+@query()
+def c18_levenshtein_all(spark, folder):
+    """Whole titles and texts; c18_levenshtein compares what its twin does."""
+    return title_edits(documents_of(spark, folder))
+
+
 _STEM = "regexp_replace(word, '^(.{4,60}?)(ations|ation|ungen|ements|ement|ings|ing|ung|ions|ion|ers|en|er|es|ed|s|e)$', '\\1')"
 
 
