@@ -181,3 +181,27 @@ def test_edits_of_whole_texts(spark):
     rows = [(1, "привет мир", "пример мир"), (2, "a" * 60, "a" * 59 + "b"), (3, None, "x"), (4, "x", None)]
     got = {r.doc_id: r.edits for r in content.title_edits(spark.createDataFrame(rows, "doc_id long, title string, text string")).collect()}
     assert got == {1: 2, 2: 1, 4: None}
+
+
+def test_character_model_scores_every_title(spark):
+    rng = random.Random(5)
+    words = {"de": "der und nicht straße schön über wagen zeitung freundschaft".split(), "en": "the with which thought history through machine weather".split()}
+    rows = [(i, lang, " ".join(rng.choices(words[kind], k=6))) for i in range(1600) for kind, lang in [rng.choice([("de", "de"), ("en", "en"), ("de", "Deutsch"), ("en", "en_GB")])]]
+    rows += [(5000, None, "der wagen"), (5001, "fr", "le vent"), (5002, "de", None)]
+    scores, fitted = learning.character_model(spark.createDataFrame(rows, "doc_id long, lang string, title string"))
+    got = {r.doc_id: r for r in scores.collect()}
+    assert set(got) == {*range(1600), 5000, 5001} and fitted.count() == learning.FITTED
+    assert got[5000].label is None and sum((r.score > 0) == r.label for r in got.values() if r.label is not None) > 1500
+
+
+def test_bootstrap_beyond_the_bound_takes_all_runs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    gains = np.r_[rng.normal(0.0, 0.1, 300), rng.normal(0.5, 0.1, 300)]
+    frame = spark.createDataFrame([(f"q{i:04}", float(g)) for i, g in enumerate(gains)], "query_id string, gain double")
+    exact = evaluation.bootstrap_of_all(frame)
+    monkeypatch.setattr(evaluation, "MAX_GAINS", 100)
+    got = evaluation.bootstrap_of_all(frame)
+    assert got[0] == exact[0] == 600 and got[1] == pytest.approx(gains.mean())
+    assert got == pytest.approx(exact, abs=0.01)
+    picks = np.random.default_rng(1).integers(0, 600, (2000, 600))
+    assert exact[2] == pytest.approx(np.sort(gains[picks].mean(axis=1))[50])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,9 @@ from webloom.operators.ranking import _LISTS, results_of
 from webloom.registry import query
 from webloom.session import table
 
+#: Gains up to this number are resampled on the driver (8 bytes each).
+MAX_GAINS = 100_000
+
 
 def judgments_of(spark, folder) -> DataFrame:
     """One grade per query and url: the newest that was given."""
@@ -163,20 +167,53 @@ def paired_bootstrap(gains: np.ndarray, resamples: int = 2000, seed: int = 1) ->
     gains = np.asarray(gains, dtype=float)
     if not len(gains):
         return 0.0, 0.0, 0.0
-    picks = np.random.default_rng(seed).integers(0, len(gains), (resamples, len(gains)))
-    means = np.sort(gains[picks].mean(axis=1))
+    # one resample at a time: all picks at once would take 16 KB a query
+    random = np.random.default_rng(seed)
+    means = np.sort([gains[random.integers(0, len(gains), len(gains))].mean() for _ in range(resamples)])
     return float(gains.mean()), float(means[math.floor(0.025 * resamples)]), float(means[math.floor(0.975 * resamples)])
 
 
+def _weighted_sums(resamples: int, seed: int):
+    """Per batch: sums of gains and of weights in each resample; a query's weights are Poisson, from its own seed."""
+
+    def rows(batches):
+        for batch in batches:
+            total, weight = np.zeros(resamples), np.zeros(resamples)
+            for h, gain in zip(batch.column("h").to_pylist(), batch.column("gain").to_pylist()):
+                picked = np.random.default_rng([seed, h & 0xFFFFFFFFFFFFFFFF]).poisson(1.0, resamples)
+                total += picked * gain
+                weight += picked
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(total), pa.array(weight)], names=["i", "total", "weight"])
+
+    return rows
+
+
+def bootstrap_of_all(gains: DataFrame, resamples: int = 2000, seed: int = 1) -> tuple[int, float, float, float]:
+    """Queries, mean gain and its interval over all rows (query_id, gain).
+
+    Up to MAX_GAINS gains are resampled on the driver; beyond that every query gets Poisson
+    weights where it lies, and only sums per resample are sent.
+    """
+    few = gains.select("query_id", "gain").limit(MAX_GAINS + 1).toPandas()
+    if len(few) <= MAX_GAINS:
+        return len(few), *paired_bootstrap(few.sort_values("query_id")["gain"].to_numpy(), resamples, seed)
+    whole = gains.agg(F.count("*").alias("n"), F.avg("gain").alias("mean")).collect()[0]
+    keyed = gains.select(F.xxhash64("query_id").alias("h"), F.col("gain").cast("double").alias("gain"))
+    sums = keyed.mapInArrow(_weighted_sums(resamples, seed), "i long, total double, weight double").groupBy("i").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+    means = np.sort([r.total / max(r.weight, 1.0) for r in sums.collect()])
+    return whole.n, whole.mean, float(means[math.floor(0.025 * resamples)]), float(means[math.floor(0.975 * resamples)])
+
+
 @query()
 def a17_paired_bootstrap(spark, folder):
-    """Gain of ordering by quality over ordering by score, with its interval; judged queries are few."""
+    """Gain of ordering by quality over ordering by score, with its interval, over all judged queries."""
     rows = judged_runs(spark, folder)
     best = results_of(spark, folder).groupBy("query_id", "url").agg(F.max(F.when(F.col("quality_known"), F.col("quality"))).alias("quality"))
     other = rows.join(best, ["query_id", "url"]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("quality").desc_nulls_last(), "url")))
-    both = ndcg(rows).select("query_id", F.col("ndcg").alias("base")).join(ndcg(other).select("query_id", F.col("ndcg").alias("new")), "query_id").dropna().orderBy("query_id").limit(100_000).toPandas()
-    mean, low, high = paired_bootstrap((both["new"] - both["base"]).to_numpy() / np.maximum(both["base"].to_numpy(), 1e-9))
-    return spark.createDataFrame([(len(both), round(mean, 6), round(low, 6), round(high, 6))], "queries long, gain double, low double, high double")
+    both = ndcg(rows).select("query_id", F.col("ndcg").alias("base")).join(ndcg(other).select("query_id", F.col("ndcg").alias("new")), "query_id").dropna()
+    gains = both.select("query_id", ((F.col("new") - F.col("base")) / F.greatest("base", F.lit(1e-9))).alias("gain"))
+    queries, mean, low, high = bootstrap_of_all(gains)
+    return spark.createDataFrame([(queries, round(mean, 6), round(low, 6), round(high, 6))], "queries long, gain double, low double, high double")
 
 
 def promoted(gain: float, low: float, clusters: int, recall_change: float, safety_change: float, latency: tuple[float, float]) -> tuple[bool, list[str]]:

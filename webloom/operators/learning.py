@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from webloom.session import table
 
 #: Judged rows on which models are fitted at most, and features of a row.
 EXAMPLES = 100_000
+#: Titles on which the character model is fitted at most, and titles scored at once (16 KB each).
+FITTED, SCORED = 256, 1_000
 FEATURES = ("retrieval_score", "quality", "spam_risk", "proximity", "function_word_fraction", "symbol_fraction", "alphabetic_fraction", "unique_token_fraction")
 SIGNS = {"retrieval_score": 1, "quality": 1, "spam_risk": -1, "proximity": 1}
 
@@ -272,15 +275,40 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0
     return w, b
 
 
+def character_scores(titles: DataFrame, w: np.ndarray, b: float) -> DataFrame:
+    """doc_id, label and score of every title; above 0 the model says German."""
+
+    def rows(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SCORED):
+                part = batch.slice(at, SCORED)
+                score = ngram_features(part.column("title").to_pylist()) @ w + b
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(score, pa.float64())], names=["doc_id", "label", "score"])
+
+    return titles.select("doc_id", "label", "title").mapInArrow(rows, "doc_id long, label boolean, score double")
+
+
+def character_model(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scores of all titles, and the documents on whose titles the model is fitted: of least hash, FITTED at most."""
+    code = F.lower(F.trim("lang"))
+    german = F.when(code.rlike("^(de|deu|ger|deutsch|german)([-_].*)?$"), True).when(code.rlike("^(en|eng|english)([-_].*)?$"), False)
+    titles = documents.where("title IS NOT NULL").select("doc_id", "title", german.alias("label"))
+    labelled = titles.where("label IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
+    # even hashes may be fitted on, so that small tables, too, keep titles to be tested on
+    sample = labelled.where(F.pmod("h", F.lit(2)) == 0).orderBy("h", "doc_id").limit(FITTED).toPandas()
+    x, y = ngram_features(list(sample["title"])), sample["label"].to_numpy(float)
+    w, b = fit_logistic(x, y) if len(sample) else (np.zeros(x.shape[1]), 0.0)
+    fitted = documents.sparkSession.createDataFrame([(int(i),) for i in sample["doc_id"]], "doc_id long")
+    return character_scores(titles, w, b), fitted
+
+
 @query()
 def l8_character_model(spark, folder):
-    """Share of held-out titles whose kind (German or not) the character model tells."""
-    rows = table(spark, folder, "documents").where("title IS NOT NULL AND lang IN ('de', 'en')").select("title", "lang", "doc_id").orderBy(F.xxhash64("doc_id")).limit(512).toPandas()
-    x, y = ngram_features(list(rows["title"])), (rows["lang"] == "de").to_numpy(float)
-    half = len(rows) // 2
-    w, b = fit_logistic(x[:half], y[:half]) if half else (np.zeros(x.shape[1]), 0.0)
-    right = float((((x[half:] @ w + b) > 0) == (y[half:] > 0)).mean()) if len(rows) > half else 0.0
-    return spark.createDataFrame([(len(rows) - half, round(right, 4))], "held_out long, accuracy double")
+    """Share of all titles outside the fitted sample whose kind (German or English) the character model tells."""
+    scores, fitted = character_model(table(spark, folder, "documents"))
+    held = scores.where("label IS NOT NULL").join(F.broadcast(fitted), "doc_id", "left_anti")
+    right = F.avg(((F.col("score") > 0) == F.col("label")).cast("double"))
+    return held.agg(F.count("*").alias("held_out"), F.round(F.coalesce(right, F.lit(0.0)), 4).alias("accuracy"))
 
 
 @query("""SELECT explain_id, CASE WHEN spam_risk_known AND spam_risk > 0.8 THEN 'explicit' WHEN NOT spam_risk_known THEN 'unknown' ELSE 'unrated' END AS label FROM explain_results""")
