@@ -136,7 +136,7 @@ def test_keys_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
 def test_versions_with_joined_anchors(spark, monkeypatch):
     frame = cases.results_frame(spark, [r[:3] for r in versions()])
     want = {tuple(r) for r in near.version_pairs(frame).collect()}
-    monkeypatch.setattr("webloom.llm.frames.MAX_BROADCAST_ANCHORS", 1)
+    monkeypatch.setattr("webloom.llm.frames.MAX_BROADCAST_PARTS", 1)
     assert {tuple(r) for r in near.version_pairs(frame).collect()} == want
 
 

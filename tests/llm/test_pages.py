@@ -1,10 +1,12 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tests.llm import cases
 from webloom.llm import body, frames, language, pages, residue, trees
-from webloom.llm.frames import _increasing, learn
+from webloom.llm.frames import Wrapper, _increasing, learn, meets, places_of
 from webloom.llm.lines import HEADING, PROSE, SHORT, TITLE, VALUE, Lines, shape
 from webloom.llm.queries import _left_out
 
@@ -49,13 +51,87 @@ def test_bodies_keep_their_lines(spark):
         assert all(p in got[c["id"]] for p in c["body"]) and " = " in got[c["id"]] and "Skip to content" not in got[c["id"]]
 
 
-def test_anchors_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
+def test_wrappers_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
     results, crawl = as_results(spark), as_pages(spark)
     want = {tuple(r) for r in body.frame_lines(results, crawl).collect()}
-    monkeypatch.setattr(frames, "MAX_BROADCAST_ANCHORS", 3)
+    monkeypatch.setattr(frames, "MAX_BROADCAST_PARTS", 3)
     assert {tuple(r) for r in body.frame_lines(results, crawl).collect()} == want and want
 
 
+def test_tokens_meet_parts_in_order_only():
+    places = places_of([1, 2, 3, 2, 4])
+    assert meets([1, 2, 3, 2, 4], places) == [0, 1, 2, 3, 4]
+    assert meets([2, 4, 1], places) in ([1, 4, -1], [3, 4, -1])
+    assert sorted(meets([9, 3, 3, 4], places)) == [-1, -1, 2, 4] and meets([], places) == []
+
+
+def test_wrapper_has_optional_and_repeated_parts():
+    wrapper = Wrapper()
+    for tokens, runs in (([1, 2, 3, 5], [0, 0, 3, 0]), ([1, 3, 5], [0, 2, 0]), ([1, 2, 5], [0, 0, 0]), ([5, 1], [0, 0])):
+        wrapper.align(tokens, [(1, int(r > 0), r) for r in runs])
+    assert [p for p in wrapper.parts if p in (2, 3)] == [2, 3] and wrapper.parts.count(5) + wrapper.parts.count(1) == 3
+    assert wrapper.seen[wrapper.parts.index(3)] == [2, 2, 5] and wrapper.seen[wrapper.parts.index(2)][0] == 2
+
+
+def frame_of(found, tab="crawl_results"):
+    out = {}
+    for r in found.where(f"tab = '{tab}'").collect():
+        out.setdefault(r.record_id, set()).add(r.line_no)
+    return out
+
+
+def test_a_menu_word_in_the_body_stays(spark):
+    """What only the alignment tells: the line is an anchor of the site, but not at this place."""
+    rng = random.Random(3)
+    menu, foot = ["Start", "Downloads", "Forum", "Contact"], ["Imprint and privacy", "© 2025 Delta"]
+    rows, second = [], {}
+    for i in range(40):
+        body = [cases.paragraph(rng) for _ in range(3)]
+        lines = menu + body[:2] + (["Downloads"] if i == 7 else []) + body[2:] + foot
+        second[i] = 6 if i == 7 else None
+        rows.append((i, f"https://delta.test/{i}", "\n".join(lines)))
+    got = frame_of(body_lines(spark, rows))
+    assert 6 not in got[7] and {0, 1, 2, 3, 7 + 1, 7 + 2} == got[7]
+    assert all(got[i] == {0, 1, 2, 3, 7, 8} for i in range(40) if i != 7)
+
+
+def body_lines(spark, rows):
+    return body.frame_lines(cases.results_frame(spark, rows), cases.pages_frame(spark, []))
+
+
+def test_a_frequent_line_of_one_site_stays_in_the_bodies_of_others(spark):
+    rng = random.Random(5)
+    said = "The weekly meeting of the maintainers takes place on every second Tuesday in the evening."
+    rows = []
+    for i in range(60):
+        host, foot = ("east.test", ["Imprint of East", "© 2025 East", said]) if i % 2 else ("west.test", ["Imprint of West", "© 2025 West"])
+        lines = ["Menu " + host, *[cases.paragraph(rng) for _ in range(2)], *([said] if i == 10 else []), cases.paragraph(rng), *foot]
+        rows.append((i, f"https://{host}/{i}", "\n".join(lines)))
+    got = frame_of(body_lines(spark, rows))
+    assert got[10] == {0, 5, 6} and got[11] == {0, 4, 5, 6}
+
+
+def test_a_page_with_the_frame_of_another_site_is_read_by_its_wrapper(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        host, foot = ("east.test", ["Imprint of East", "© 2025 East"]) if i % 2 else ("west.test", ["Imprint of West", "© 2025 West"])
+        url = "west.test" if i == 11 else host
+        rows.append((i, f"https://{url}/{i}", "\n".join(["Menu " + host, *[cases.paragraph(rng) for _ in range(3)], *foot])))
+    assert frame_of(body_lines(spark, rows))[11] == {0, 4, 5}
+
+
+def test_wrappers_do_not_depend_on_the_layout(spark, monkeypatch):
+    results, crawl = as_results(spark), as_pages(spark)
+    want = {tuple(r) for r in body.frame_lines(results.coalesce(1), crawl).collect()}
+    assert {tuple(r) for r in body.frame_lines(results.repartition(11), crawl.repartition(5)).collect()} == want
+    # split sites: partial wrappers are aligned with each other
+    monkeypatch.setattr(frames, "PAGES_PER_TASK", 10)
+    monkeypatch.setattr(frames, "WRAPPERS_PER_TASK", 2)
+    got = {tuple(r) for r in body.frame_lines(results, crawl).collect()}
+    assert len(got ^ want) <= 0.02 * len(want)
+
+
 def odd_pages():
     return [(1000 + i, None if i % 3 == 0 else "https://alpha.test/odd", None if i % 2 else "t", t, None if i % 2 else [], None) for i, t in enumerate(cases.ODD_TEXTS)]
 
@@ -63,7 +139,7 @@ def odd_pages():
 def test_odd_pages_do_not_crash(spark):
     df = as_pages(spark, odd_pages())
     read = pages.crawled(df)
-    facts = language.page_facts_with_languages(read, learn(read).anchors)
+    facts = language.page_facts_with_languages(read, learn(read).wrappers)
     assert facts.count() == len(CRAWL) + len(cases.ODD_TEXTS)
     ids = {r.page_id for r in language.languages(facts).collect()}
     assert not ids & {1000, 1001, 1002, 1003}

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 
 from webloom.llm import residue
 from webloom.llm.frames import FrameReader
-from webloom.llm.lines import EMPTY, HEADING, Lines, key64, normalised
+from webloom.llm.lines import EMPTY, HEADING, title_keys
 from webloom.llm.words import FUNCTION_WORD_SET
 
 FEATURES = (
@@ -33,12 +33,6 @@ FEATURES = (
 )
 
 
-def title_keys(titles: list[str | None]) -> list[int]:
-    """Keys of the pages' titles, to know the heading that repeats one."""
-    norms = normalised(pa.array([t or "" for t in titles], pa.string())).to_pylist()
-    return [key64(n) if n else 0 for n in norms]
-
-
 def _top_share(page: np.ndarray, code: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray]:
     """Per page the count of its most frequent code, and its number of different codes."""
     top, different = np.zeros(pages), np.zeros(pages)

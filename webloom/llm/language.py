@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.features import Residuals
-from webloom.llm.frames import Anchors
+from webloom.llm.frames import Wrappers
 from webloom.llm.pages import LANGUAGE_FIELD, hashed_sample, page_facts
 from webloom.llm.words import FUNCTION_WORDS, WORD, language_of_label
 
@@ -197,9 +197,9 @@ def _main_language(codes: list[int], mask: list[bool], counts: list[int], langua
     return None
 
 
-def page_facts_with_languages(pages: DataFrame, anchors: Anchors) -> DataFrame:
+def page_facts_with_languages(pages: DataFrame, wrappers: Wrappers) -> DataFrame:
     """page_facts with each page's languages, in one reading of the texts."""
-    return page_facts(pages, anchors, _column(fit_dictionaries(pages)), LANGUAGE_FIELD)
+    return page_facts(pages, wrappers, _column(fit_dictionaries(pages)), LANGUAGE_FIELD)
 
 
 def languages(facts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ All functions here work on one batch; they hold no state besides small caches.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,29 @@ def patterns(raw: str, norm: str, kind: int) -> tuple[int, int, int]:
     return label, form, middle
 
 
+def title_keys(titles: list[str | None]) -> list[int]:
+    """Keys of the pages' titles, to know the heading that repeats one."""
+    norms = normalised(pa.array([t or "" for t in titles], pa.string())).to_pylist()
+    return [key64(n) if n else 0 for n in norms]
+
+
+@dataclass
+class Places:
+    """Lines of several pages one after the other: page i has those from offsets[i] to offsets[i + 1]."""
+
+    offsets: np.ndarray
+    keys: np.ndarray
+    kinds: np.ndarray
+    patterns: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    @property
+    def page(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.offsets))
+
+
 class Lines:
     """The lines of a batch of texts; equal lines are looked at once."""
 
@@ -111,6 +135,11 @@ class Lines:
     def longs(self) -> np.ndarray:
         return (self.kinds == PROSE) & (self.lengths >= LONG_CHARS)
 
+    def places(self) -> Places:
+        """The lines of all texts in order, as keys."""
+        codes = self.codes
+        return Places(self.offsets, self.keys[codes], self.kinds[codes], self.patterns[codes])
+
     def __len__(self) -> int:
         return len(self.offsets) - 1
 

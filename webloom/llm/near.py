@@ -24,9 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.frames import Anchors, FrameReader, extra, learn, site_of
+from webloom.llm.frames import FrameReader, extra, learn, site_of
+from webloom.llm.frames import Wrappers as Anchors
 from webloom.llm.lines import EMPTY, key64
-from webloom.llm.pages import chunks
+from webloom.llm.sizes import chunks
 from webloom.session import cut
 
 SIMILARITY = 0.45
@@ -48,7 +49,7 @@ _ADD = _RNG.integers(0, 1 << 32, SEGMENTS * WIDTH, dtype=np.uint32)
 def bodies(df: DataFrame) -> DataFrame:
     """The columns that are read; rows without url take the site of base_url."""
     site = F.coalesce(site_of(F.col("url")), site_of(F.col("base_url")), F.lit(""))
-    return df.select("result_id", F.xxhash64(site).alias("host_key"), F.col("raw_content").alias("text"))
+    return df.select("result_id", F.col("result_id").alias("record_id"), F.xxhash64(site).alias("host_key"), F.col("raw_content").alias("text"))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from webloom.llm import residue, trees
 from webloom.llm.features import FEATURES, Residuals
-from webloom.llm.frames import Anchors, FrameReader, extra, learn, site_of
+from webloom.llm.frames import FrameReader, Wrappers, extra, learn, site_of
+from webloom.llm.sizes import chunks
 from webloom.session import cut
 
 #: Labelled pages per class on which the trees are fitted.
@@ -33,6 +34,7 @@ def crawled(df: DataFrame) -> DataFrame:
     """The columns that are read, by their names in crawled_pages."""
     return df.select(
         "page_id",
+        F.col("page_id").alias("record_id"),
         F.xxhash64(F.coalesce(site_of(F.col("url")), F.lit(""))).alias("host_key"),
         "title",
         "text",
@@ -41,21 +43,6 @@ def crawled(df: DataFrame) -> DataFrame:
     ).withColumn("links", F.greatest("links", F.lit(0)))
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with a bounded number of characters each (at least one row)."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
-    if sizes.sum() <= most:
-        yield batch
-        return
-    begin, held = 0, 0
-    for i, size in enumerate(sizes.tolist()):
-        if held and held + size > most:
-            yield batch.slice(begin, i - begin)
-            begin, held = i, 0
-        held += size
-    yield batch.slice(begin)
-
-
 def weak_labels(x: np.ndarray) -> np.ndarray:
     """1: surely keywords, tags or links; 0: surely sentences; -1: not sure."""
     f = {name: x[:, i] for i, name in enumerate(FEATURES)}
@@ -78,11 +65,11 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
     return np.where(f["words"] < 5, -1, np.where(spam & ~plain, 1, np.where(plain & ~spam, 0, -1)))
 
 
-def _facts(anchors: Anchors, more=None):
+def _facts(wrappers: Wrappers, more=None):
     """more: makes, in the worker, a function from a batch and its residuals to one more column."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = FrameReader(anchors)
+        reader = FrameReader(wrappers)
         extra = more() if more else None
         for whole in batches:
             for batch in chunks(whole, "text"):
@@ -111,10 +98,10 @@ def _facts(anchors: Anchors, more=None):
     return rows
 
 
-def page_facts(pages: DataFrame, anchors: Anchors, more=None, field: str = "") -> DataFrame:
+def page_facts(pages: DataFrame, wrappers: Wrappers, more=None, field: str = "") -> DataFrame:
     """One row per page (FACT_SCHEMA), kept in the shared folder: several steps read it."""
     schema = FACT_SCHEMA + (", " + field if field else "")
-    return cut(pages.select("page_id", "host_key", "title", "text", "language", "links", *extra(pages)).mapInArrow(_facts(anchors, more), schema))
+    return cut(pages.select("page_id", "host_key", "title", "text", "language", "links", *extra(pages)).mapInArrow(_facts(wrappers, more), schema))
 
 
 def residue_pages(facts: DataFrame) -> DataFrame:
@@ -177,12 +164,12 @@ def spam_pages(facts: DataFrame) -> DataFrame:
     return spam_scores(facts).where(F.col("spam") >= SPAM_CUT).select("page_id").distinct()
 
 
-def judged(df: DataFrame) -> tuple[DataFrame, Anchors, DataFrame]:
-    """crawled_pages as read, the anchors of its sites and the facts of its pages."""
+def judged(df: DataFrame) -> tuple[DataFrame, Wrappers, DataFrame]:
+    """crawled_pages as read, the wrappers of its sites and the facts of its pages."""
     read = crawled(df)
     learned = learn(read)
     pages = learned.on(read)
-    return pages, learned.anchors, page_facts(pages, learned.anchors)
+    return pages, learned.wrappers, page_facts(pages, learned.wrappers)
 
 
 __all__ = ["crawled", "fit_spam", "judged", "page_facts", "residue", "residue_pages", "spam_pages", "spam_scores"]

@@ -29,7 +29,7 @@ def _left_out(facts: DataFrame) -> DataFrame:
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
     read = pages.crawled(table(spark, folder, "crawled_pages"))
     learned = learn(read)
-    return language.page_facts_with_languages(learned.on(read), learned.anchors)
+    return language.page_facts_with_languages(learned.on(read), learned.wrappers)
 
 
 def _p2_found(spark: SparkSession, folder: str) -> DataFrame:
