@@ -1,0 +1,27 @@
+"""Connected parts of links, without any of them leaving the executors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from webloom.session import cut
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node and label (the least node of its part) for links(a, b).
+
+    Labels spread along the links until none changes; a label's own label is taken over
+    too, which halves the distance in each round.
+    """
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    while True:
+        offers = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
+        least = labels.union(offers).groupBy("node").agg(F.min("label").alias("low"))
+        jumped = least.join(labels.select(F.col("node").alias("low"), F.col("label").alias("lower")), "low", "left")
+        new = cut(jumped.select("node", F.least("low", F.coalesce("lower", "low")).alias("label")))
+        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
+        labels = new
+        if not changed:
+            return labels

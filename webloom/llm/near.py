@@ -1,15 +1,20 @@
 """Versions of one text: bodies that share at least 45 in a hundred of their three-word sequences.
 
 1. Bodies (frames.py) with equal sequence sets form a class; only one row of a class goes on.
-2. A body's sketch has SEGMENTS x WIDTH minimal hashes over all its sequences, common or rare.
-3. Candidates agree in a whole segment; the
-   pigeonring filter then walks the ring from such a segment and drops a pair as soon as
-   the differences so far exceed the proportional budget l * LIMIT / SEGMENTS; what is left
-   passes the full Hamming check against LIMIT.
-4. The sequences themselves decide, and classes are expanded to rows.
-
-No row, bucket or partner is capped. Only pairs that belong to the result grow beyond
-the input.
+2. A body's sketch is a ring of SEGMENTS segments of WIDTH minimal hashes over all its
+   sequences, common or rare.
+3. Pigeonring filter. If two sketches differ in at most LIMIT hashes, some segment begins a
+   chain whose first l segments differ in at most l * LIMIT / SEGMENTS, for every l. A pair
+   is looked at where it has an equal segment, and the chain of CHAIN segments that
+   begins there is checked at once, in the join itself, on four bits a hash: only pairs
+   that stay within every budget leave the join.
+4. The full Hamming check against LIMIT. Far below it (SURE) a pair is a version beyond
+   doubt; for the pairs between, the sequences themselves decide.
+
+Classes, their links and their members are the result (version_groups); version_pairs
+expands them to pairs of rows. No row, bucket or partner is capped; a segment that very
+many bodies share makes a large join partition, which is split on both sides when the
+join runs (adaptive skew join).
 """
 
 from __future__ import annotations
@@ -21,29 +26,35 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.frames import FrameReader, extra, learn, site_of
-from webloom.llm.frames import Wrappers as Anchors
+from webloom.llm.components import components
+from webloom.llm.frames import FrameReader, Learned, Wrappers, extra, learn, site_of
 from webloom.llm.lines import EMPTY, key64
 from webloom.llm.sizes import chunks
 from webloom.session import cut
 
 SIMILARITY = 0.45
 WORDS = 3
-SEGMENTS, WIDTH = 56, 3
-#: Hamming limit over the SEGMENTS * WIDTH hashes; a pair at SIMILARITY stays far below it.
-LIMIT = 140
-CHAIN = 12
+SEGMENTS, WIDTH = 44, 3
+HASHES = SEGMENTS * WIDTH
+#: Hamming limit over the HASHES: what a pair at SIMILARITY differs in (0.55) and three standard deviations.
+LIMIT = 91
+#: Up to this many differences a similarity below SIMILARITY is five standard deviations away.
+SURE = 44
+#: Segments of a chain, the equal one with it.
+CHAIN = 16
 #: Up to this number ids go to the executors as a sorted array (8 bytes each); beyond it rows are joined.
 MAX_IDS = 1_000_000
-#: Least value of draw_probability.
-FLOOR = 0.03
 
 _RNG = np.random.default_rng(20240611)
-_MULTIPLY = (_RNG.integers(0, 1 << 32, SEGMENTS * WIDTH, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
-_ADD = _RNG.integers(0, 1 << 32, SEGMENTS * WIDTH, dtype=np.uint32)
+_MULTIPLY = (_RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
+_ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+#: Segments whose bits fill one long, and longs of a chain.
+_EACH = 16 // WIDTH
+_RINGS = (CHAIN - 1) // _EACH
+_NIBBLES = 0x1111111111111111
 
 
 def bodies(df: DataFrame) -> DataFrame:
@@ -90,94 +101,110 @@ def sequences(reader: FrameReader, texts: pa.RecordBatch | pa.Array) -> tuple[np
     return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), starts
 
 
-def _classes(anchors: Anchors):
-    """Rows (result_id, class key)."""
+def sketches(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Minimal hashes (16 bits each) of the bodies that begin at starts; none of them is empty."""
+    sketch = np.empty((len(starts), HASHES), dtype=np.uint16)
+    if len(starts):
+        hashed = np.empty_like(values)
+        for k in range(HASHES):
+            np.bitwise_xor(values, _ADD[k], out=hashed)
+            np.multiply(hashed, _MULTIPLY[k], out=hashed)
+            sketch[:, k] = np.minimum.reduceat(hashed, starts) >> np.uint32(8)
+    return sketch
+
+
+def _stored(sketch: np.ndarray) -> list[bytes]:
+    """Low bytes of all hashes, then the high ones."""
+    return [row.tobytes() for row in np.concatenate([(sketch & np.uint16(255)).astype(np.uint8), (sketch >> np.uint16(8)).astype(np.uint8)], axis=1)]
+
+
+def _sketch_rows(wrappers: Wrappers):
+    """Rows (result_id, class key, sketch) of the bodies that have text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = FrameReader(anchors)
-        schema = pa.schema([("result_id", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64())])
+        reader = FrameReader(wrappers)
+        schema = pa.schema([("result_id", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("sketch", pa.binary())])
         for whole in batches:
             for batch in chunks(whole, "text"):
                 texts = batch.column("text").to_pylist()
                 values, starts = sequences(reader, batch)
-                ids, first, second = [], [], []
+                have = np.flatnonzero(np.diff(starts))
+                stored = dict(zip(have.tolist(), _stored(sketches(values, starts[have]))))
+                ids, first, second, drawn = [], [], [], []
                 for i, (row, text) in enumerate(zip(batch.column("result_id").to_pylist(), texts)):
                     part = values[starts[i] : starts[i + 1]]
                     if not len(part) and not (text and text.strip()):
                         continue
                     a, b = np.frombuffer(xxhash.xxh3_128_digest(part.tobytes() if len(part) else b"text " + text.encode()), dtype=np.int64)
-                    ids.append(row), first.append(int(a)), second.append(int(b))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], schema=schema)
+                    ids.append(row), first.append(int(a)), second.append(int(b)), drawn.append(stored.get(i))
+                columns = [pa.array(x, f.type) for x, f in zip((ids, first, second, drawn), schema)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return rows
 
 
-def draw_probability(counters: np.ndarray, bodies_seen: int) -> np.ndarray:
-    """With which probability a sequence in each counter would be drawn; rare: 1, in every body: FLOOR.
+def _hashes(column: pa.Array) -> np.ndarray:
+    stored = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), 2, HASHES).astype(np.uint16)
+    return stored[:, 0] | stored[:, 1] << np.uint16(8)
 
-    Sketches do not use it: what a large group of versions shares is common, and drawing it
-    less often loses their pairs. It is left for its test.
-    """
-    rare = max(1.0, float(np.median(counters)))
-    n = max(float(bodies_seen), 2.0)
-    top = max(np.log(n / min(rare, n / 2)), 1e-9)
-    share = np.log(n / np.clip(counters, 1, n)) / top
-    return np.clip(share * share, FLOOR, 1.0).astype(np.float32)
+
+def ring_postings(sketch: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Per body and segment its key, and four bits of each hash of the CHAIN - 1 segments that follow on the ring."""
+    parts = sketch.reshape(-1, SEGMENTS, WIDTH).astype(np.uint64)
+    shifts = np.arange(WIDTH, dtype=np.uint64)
+    keys = (parts << (shifts * np.uint64(16))).sum(axis=2, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        keys = (keys ^ (np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        keys ^= keys >> np.uint64(29)
+    few = ((parts & np.uint64(15)) << (shifts * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+    rings = [sum(np.roll(few, -(_EACH * r + j + 1), axis=1) << np.uint64(4 * WIDTH * j) for j in range(_EACH)) for r in range(_RINGS)]
+    return keys.view(np.int64), [r.view(np.int64) for r in rings]
 
 
-def _sketches(anchors: Anchors, chosen: Chosen):
+def _postings(chosen: Chosen):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = FrameReader(anchors)
-        for whole in batches:
-            for batch in chunks(chosen.of(whole), "text"):
-                values, starts = sequences(reader, batch)
-                owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-                have, first = np.unique(owner, return_index=True)
-                sketch = np.empty((len(have), SEGMENTS * WIDTH), dtype=np.uint32)
-                if len(have):
-                    for k in range(SEGMENTS * WIDTH):
-                        hashed = (values ^ _ADD[k]) * _MULTIPLY[k]
-                        sketch[:, k] = np.minimum.reduceat(hashed, first)
-                ids = np.asarray(batch.column("result_id"))[have]
-                parts = sketch.reshape(-1, SEGMENTS, WIDTH).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    keys = np.arange(SEGMENTS, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
-                    for w in range(WIDTH):
-                        keys = (keys ^ parts[:, :, w]) * np.uint64(0xC2B2AE3D27D4EB4F)
-                        keys ^= keys >> np.uint64(29)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()),
-                        pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
-                        pa.array([row.tobytes() for row in (sketch >> np.uint32(8)).astype(np.uint8)], pa.binary()),
-                    ],
-                    names=["result_id", "segments", "sketch"],
-                )
+        for batch in batches:
+            batch = chosen.of(batch)
+            keys, rings = ring_postings(_hashes(batch.column("sketch")))
+            ids = np.repeat(np.asarray(batch.column("result_id")), SEGMENTS)
+            columns = [pa.array(x.ravel(), pa.int64()) for x in (keys, ids, *rings)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", *(f"ring_{r}" for r in range(_RINGS))])
 
     return rows
 
 
-def ring_passes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which pairs of sketches pass the chain from an equal segment and the Hamming limit."""
-    differs = (left != right).reshape(len(left), SEGMENTS, WIDTH).sum(axis=2)
-    ring = np.concatenate([np.zeros((len(left), 1), int), np.cumsum(np.concatenate([differs, differs[:, :CHAIN]], axis=1), axis=1)], axis=1)
-    good = differs == 0
-    for length in range(2, CHAIN + 1):
-        good &= ring[:, length : length + SEGMENTS] - ring[:, :SEGMENTS] <= length * LIMIT / SEGMENTS
-    return good.any(axis=1) & (differs.sum(axis=1) <= LIMIT)
+def budget(length: int) -> int:
+    """Differences that the first `length` segments of a chain may have."""
+    return length * LIMIT // SEGMENTS
+
+
+def chain_holds(rings: list[tuple[Column, Column]]) -> Column:
+    """Do the segments behind an equal one stay within the budget of every length?"""
+    within, so_far = F.lit(True), F.lit(0)
+    for r, (left, right) in enumerate(rings):
+        x = left.bitwiseXOR(right)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(_NIBBLES))
+        for j in range(1, _EACH + 1):
+            length = _EACH * r + j + 1
+            if (length - 1) * WIDTH > budget(length):
+                within = within & (so_far + F.bit_count(x.bitwiseAND(F.lit((1 << 4 * WIDTH * j) - 1))) <= budget(length))
+        so_far = so_far + F.bit_count(x)
+    return within
 
 
-def _ring_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hamming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within LIMIT, and whether they are so near that no further check is needed. Low bytes stand for the hashes."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b")]
-        yield batch.select(["a", "b"]).filter(pa.array(ring_passes(*sides)))
+        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for c in ("low_a", "low_b"))
+        differ = (left != right).sum(axis=1)
+        near = pa.array(differ <= LIMIT)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(near) for c in ("a", "b")), pa.array(differ <= SURE).filter(near)], names=["a", "b", "sure"])
 
 
-def _sequence_rows(anchors: Anchors, chosen: Chosen):
+def _sequence_rows(wrappers: Wrappers, chosen: Chosen):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = FrameReader(anchors)
+        reader = FrameReader(wrappers)
         for whole in batches:
             for batch in chunks(chosen.of(whole), "text"):
                 values, starts = sequences(reader, batch)
@@ -201,50 +228,69 @@ class Chosen:
         return batch.filter(pa.array(inside if self.keep else ~inside))
 
 
-def _choice(texts: DataFrame, ids: DataFrame, keep: bool) -> tuple[DataFrame, Chosen]:
-    """Texts whose result_id is, or is not, among ids. Few ids spare the texts a shuffle and a worker of their own."""
+def _choice(rows: DataFrame, ids: DataFrame, keep: bool) -> tuple[DataFrame, Chosen]:
+    """Rows whose result_id is, or is not, among ids. Few ids spare the rows a shuffle and a worker of their own."""
     ids = ids.distinct()
     few = ids.limit(MAX_IDS + 1).toArrow().column("result_id").to_numpy()
-    rows = texts.select("result_id", "text", *extra(texts))
     if len(few) <= MAX_IDS:
         return rows, Chosen(np.sort(few), keep)
     return rows.join(ids, "result_id", "left_semi" if keep else "left_anti"), Chosen(None, keep)
 
 
-def classes(df: DataFrame) -> tuple[DataFrame, Anchors, DataFrame]:
-    """bodies, anchors and class of each row that shares its class (result_id, class_id)."""
-    read = bodies(df)
-    learned = learn(read)
-    texts, anchors = learned.on(read), learned.anchors
-    rows = cut(texts.select("result_id", "text", *extra(texts)).mapInArrow(_classes(anchors), "result_id long, key_a long, key_b long"))
-    first = rows.groupBy("key_a", "key_b").agg(F.min("result_id").alias("class_id"), F.count("*").alias("n"))
-    shared = rows.join(first.where("n > 1"), ["key_a", "key_b"]).select("result_id", "class_id")
-    return texts, anchors, cut(shared)
+@dataclass
+class Classes:
+    """Bodies and their wrappers, a sketch for each row, and the class of each row that shares its class."""
 
+    texts: DataFrame
+    learned: Learned
+    rows: DataFrame
+    shared: DataFrame
 
-def class_pairs(texts: DataFrame, anchors: Anchors, shared: DataFrame) -> DataFrame:
+
+def classes(df: DataFrame) -> Classes:
+    read = bodies(df)
+    learned = learn(read.withColumn("title", F.lit(None).cast("string")))
+    texts = learned.on(read)
+    rows = cut(texts.select("result_id", "host_key", "text", *extra(texts)).mapInArrow(_sketch_rows(learned.wrappers), "result_id long, key_a long, key_b long, sketch binary"))
+    keys = rows.select("result_id", "key_a", "key_b")
+    first = keys.groupBy("key_a", "key_b").agg(F.min("result_id").alias("class_id"), F.count("*").alias("n"))
+    shared = keys.join(first.where("n > 1"), ["key_a", "key_b"]).select("result_id", "class_id")
+    return Classes(texts, learned, rows, cut(shared))
+
+
+def candidates(found: Classes) -> DataFrame:
+    """Pairs (a, b) of classes whose sketches have an equal segment from which a chain holds."""
+    others = found.shared.where("result_id <> class_id").select("result_id")
+    singles, chosen = _choice(found.rows.where("sketch IS NOT NULL").select("result_id", "sketch"), others, keep=False)
+    rings = [f"ring_{r}" for r in range(_RINGS)]
+    postings = singles.mapInArrow(_postings(chosen), "key long, id long, " + ", ".join(f"{r} long" for r in rings))
+    left, right = (postings.select("key", F.col("id").alias(side), *[F.col(r).alias(f"{r}_{side}") for r in rings]) for side in ("a", "b"))
+    chain = chain_holds([(F.col(f"{r}_a"), F.col(f"{r}_b")) for r in rings])
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & chain).select("a", "b").distinct()
+
+
+def class_pairs(found: Classes) -> DataFrame:
     """Pairs (a, b) of classes, by their least result_id, whose bodies are versions of one text."""
-    others = shared.where("result_id <> class_id").select("result_id")
-    singles, chosen = _choice(texts, others, keep=False)
-    sketches = cut(singles.mapInArrow(_sketches(anchors, chosen), "result_id long, segments array<long>, sketch binary"))
-    keys = sketches.select("result_id", F.explode("segments").alias("key"))
-    left, right = keys.select("key", F.col("result_id").alias("a")), keys.select("key", F.col("result_id").alias("b"))
-    candidates = left.join(right, "key").where("a < b").select("a", "b").distinct()
-    lookup = sketches.select("result_id", "sketch")
-    drawn = candidates.join(lookup.select(F.col("result_id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(
-        lookup.select(F.col("result_id").alias("b"), F.col("sketch").alias("sketch_b")), "b"
+    low = found.rows.where("sketch IS NOT NULL").select("result_id", F.substring("sketch", 1, HASHES).alias("low"))
+    drawn = (
+        candidates(found)
+        .join(low.select(F.col("result_id").alias("a"), F.col("low").alias("low_a")), "a")
+        .join(low.select(F.col("result_id").alias("b"), F.col("low").alias("low_b")), "b")
     )
-    near = cut(drawn.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_ring_filter, "a long, b long"))
-    wanted = near.select(F.col("a").alias("result_id")).union(near.select("b"))
-    paired, chosen = _choice(texts, wanted, keep=True)
-    exact = paired.mapInArrow(_sequence_rows(anchors, chosen), "result_id long, sequences array<int>")
-    pairs = near.join(exact.select(F.col("result_id").alias("a"), F.col("sequences").alias("sa")), "a").join(
+    near = cut(drawn.select("a", "b", "low_a", "low_b").mapInArrow(_hamming, "a long, b long, sure boolean"))
+    open_pairs = near.where("not sure").select("a", "b")
+    wanted = open_pairs.select(F.col("a").alias("result_id")).union(open_pairs.select("b"))
+    texts = found.texts
+    paired, chosen = _choice(texts.select("result_id", "host_key", "text", *extra(texts)), wanted, keep=True)
+    exact = paired.mapInArrow(_sequence_rows(found.learned.wrappers, chosen), "result_id long, sequences array<int>")
+    pairs = open_pairs.join(exact.select(F.col("result_id").alias("a"), F.col("sequences").alias("sa")), "a").join(
         exact.select(F.col("result_id").alias("b"), F.col("sequences").alias("sb")), "b"
     )
     both = F.size(F.array_intersect("sa", "sb"))
     # x / (m + n - x) >= 45 / 100 in whole numbers
     hundredth = int(round(SIMILARITY * 100))
-    return pairs.withColumn("both", both).where((F.col("both") > 0) & (100 * F.col("both") >= hundredth * (F.size("sa") + F.size("sb") - F.col("both")))).select("a", "b")
+    decided = pairs.withColumn("both", both).where((F.col("both") > 0) & (100 * F.col("both") >= hundredth * (F.size("sa") + F.size("sb") - F.col("both")))).select("a", "b")
+    return near.where("sure").select("a", "b").union(decided)
 
 
 def version_pairs(df: DataFrame) -> DataFrame:
@@ -254,8 +300,8 @@ def version_pairs(df: DataFrame) -> DataFrame:
     their body has fewer than three words. Extra columns are ignored; an empty table gives
     an empty result.
     """
-    texts, anchors, shared = classes(df)
-    pairs = class_pairs(texts, anchors, shared)
+    found = classes(df)
+    pairs, shared = class_pairs(found), found.shared
     inside = shared.select("class_id", F.col("result_id").alias("x")).join(shared.select("class_id", F.col("result_id").alias("y")), "class_id").where("x < y").select("x", "y")
     left = shared.select(F.col("class_id").alias("a"), F.col("result_id").alias("x"))
     right = shared.select(F.col("class_id").alias("b"), F.col("result_id").alias("y"))
@@ -269,21 +315,11 @@ def version_groups(df: DataFrame) -> DataFrame:
     Groups are the connected parts of the version pairs between classes; rows of one class
     share its links. Labels spread along the pairs until none changes.
     """
-    texts, anchors, shared = classes(df)
-    pairs = cut(class_pairs(texts, anchors, shared))
+    found = classes(df)
+    pairs, shared = cut(class_pairs(found)), found.shared
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     size = shared.groupBy(F.col("class_id").alias("b")).agg(F.count("*").alias("rows"))
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    while True:
-        offers = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
-        least = labels.union(offers).groupBy("node").agg(F.min("label").alias("low"))
-        # a label's own label is taken over too, which halves the distance in each round
-        jumped = least.join(labels.select(F.col("node").alias("low"), F.col("label").alias("lower")), "low", "left")
-        new = cut(jumped.select("node", F.least("low", F.coalesce("lower", "low")).alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
+    labels = components(pairs)
     links = both.join(size, "b", "left").groupBy(F.col("a").alias("class_id")).agg(F.sum(F.coalesce("rows", F.lit(1))).alias("links"))
     rows = df.select("result_id").join(shared, "result_id", "left").select("result_id", F.coalesce("class_id", "result_id").alias("class_id"))
     own = shared.groupBy("class_id").agg((F.count("*") - 1).alias("copies"))

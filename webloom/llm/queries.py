@@ -60,11 +60,11 @@ def _p4_ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats.repeated_lines(table(spark, folder, "crawl_results"))
+    return repeats.repeated_lines(table(spark, folder, "crawl_results"), table(spark, folder, "given_names"))
 
 
 def _p5_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats.without_repeats(table(spark, folder, "crawl_results"))
+    return repeats.without_repeats(table(spark, folder, "crawl_results"), table(spark, folder, "given_names"))
 
 
 def _p6_found(spark: SparkSession, folder: str) -> DataFrame:
