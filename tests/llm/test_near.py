@@ -114,7 +114,7 @@ def test_chain_keeps_close_pairs_and_prunes_others_before_the_hamming_check(spar
     got, _ = passes(spark, left, right)
     differ = ((left & 15) != (right & 15)).reshape(len(left), near.SEGMENTS, near.WIDTH).sum(axis=2)
     equal = (left == right).reshape(differ.shape + (near.WIDTH,)).all(axis=2)
-    want = [any(e[s] and all(sum(d[(s + k) % near.SEGMENTS] for k in range(1, n)) <= near.budget(n) for n in range(2, near.CHAIN + 1)) for s in range(near.SEGMENTS)) for d, e in zip(differ, equal)]
+    want = [any(e[s] and all(sum(d[(s + k) % near.SEGMENTS] for k in range(1, n)) <= near.budget(n) for n in near.LENGTHS) for s in range(near.SEGMENTS)) for d, e in zip(differ, equal)]
     assert got.tolist() == want and 0 < sum(want) < len(want)
 
 

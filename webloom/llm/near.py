@@ -6,8 +6,8 @@
 3. Pigeonring filter. If two sketches differ in at most LIMIT hashes, some segment begins a
    chain whose first l segments differ in at most l * LIMIT / SEGMENTS, for every l. A pair
    is looked at where it has an equal segment, and the chain of CHAIN segments that
-   begins there is checked at once, in the join itself, on four bits a hash: only pairs
-   that stay within every budget leave the join.
+   begins there is checked at once (at LENGTHS), in the join itself, on four bits a hash:
+   only pairs that stay within these budgets leave the join.
 4. The full Hamming check against LIMIT. Far below it (SURE) a pair is a version beyond
    doubt; for the pairs between, the sequences themselves decide.
 
@@ -39,12 +39,14 @@ SIMILARITY = 0.45
 WORDS = 3
 SEGMENTS, WIDTH = 44, 3
 HASHES = SEGMENTS * WIDTH
-#: Hamming limit over the HASHES: what a pair at SIMILARITY differs in (0.55) and three standard deviations.
-LIMIT = 91
+#: Hamming limit over the HASHES: what a pair at SIMILARITY differs in (0.55) and 2.7 standard deviations.
+LIMIT = 88
 #: Up to this many differences a similarity below SIMILARITY is five standard deviations away.
 SURE = 44
 #: Segments of a chain, the equal one with it.
 CHAIN = 16
+#: Lengths of a chain at which its budget is checked.
+LENGTHS = (4, 6, 8, 10, 13, 16)
 #: Up to this number ids go to the executors as a sorted array (8 bytes each); beyond it rows are joined.
 MAX_IDS = 1_000_000
 
@@ -179,7 +181,10 @@ def budget(length: int) -> int:
 
 
 def chain_holds(rings: list[tuple[Column, Column]]) -> Column:
-    """Do the segments behind an equal one stay within the budget of every length?"""
+    """Do the segments behind an equal one stay within the budgets of LENGTHS?
+
+    Few lengths keep the generated join small enough to be compiled.
+    """
     within, so_far = F.lit(True), F.lit(0)
     for r, (left, right) in enumerate(rings):
         x = left.bitwiseXOR(right)
@@ -187,7 +192,7 @@ def chain_holds(rings: list[tuple[Column, Column]]) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(_NIBBLES))
         for j in range(1, _EACH + 1):
             length = _EACH * r + j + 1
-            if (length - 1) * WIDTH > budget(length):
+            if length in LENGTHS:
                 within = within & (so_far + F.bit_count(x.bitwiseAND(F.lit((1 << 4 * WIDTH * j) - 1))) <= budget(length))
         so_far = so_far + F.bit_count(x)
     return within
