@@ -206,3 +206,95 @@ def test_trees_separate():
     assert ((forest.predict(x[300:]) > 0.5) == (y[300:] > 0)).mean() > 0.9
     assert trees.fit(x[:0], y[:0]).predict(x[:3]).tolist() == [0, 0, 0]
     assert trees.fit(x[:5], np.ones(5)).predict(x[:2]).tolist() == [1, 1]
+
+
+#: Not looked at while the families of residue.py were written.
+HELD_OUT_NOTICES = """
+The requested URL was not found on this server.
+JavaScript must be enabled to view this site.
+This site can't be reached.
+The request timed out.
+Too many requests.
+HTTP Error 404
+Under construction
+Your content goes here.
+You need to log in to view this content because your session has expired.
+The connection was reset by the server.
+Sorry, this page isn't available.
+The file you requested has been removed.
+Please update your browser to continue.
+This account has been suspended.
+We couldn't load this document.
+The database is unavailable, sorry.
+The link you followed is broken.
+Add a description here
+Die angeforderte Seite wurde nicht gefunden.
+Diese Webseite ist vorübergehend nicht verfügbar.
+Bitte aktivieren Sie Cookies in Ihrem Browser.
+Ihre Sitzung ist abgelaufen.
+La page demandée est introuvable.
+Votre session a expiré.
+Le serveur n'est pas disponible.
+Veuillez activer les cookies de votre navigateur.
+La página solicitada no existe.
+Su sesión ha caducado.
+El servidor no responde.
+Por favor, actualice su navegador.
+A página não foi encontrada.
+A sua sessão expirou.
+O servidor não está disponível.
+Запрошенная страница не существует.
+Сервер временно недоступен.
+Пожалуйста, обновите ваш браузер.
+Срок действия сессии истёк.
+403 Forbidden
+500 internal server error
+Unable to connect to the database
+""".strip().split("\n")
+HELD_OUT_PLACEHOLDERS = """
+Hello *|FNAME|*, welcome
+Dear %FIRSTNAME%, welcome
+[% title %]
+<?= $title ?>
+Message {0} of {1}
+Dear <<company>>
+{{ user.name }}
+${order.id}
+Hi [FIRST_NAME]
+#{user_name}
+{$title}
+<% name %>
+##NAME##
+@@site@@
+%%unsubscribe%%
+[insert address]
+""".strip().split("\n")
+
+
+def test_held_out_notices_and_placeholders():
+    assert sum(residue.is_notice(" ".join(n.lower().split())) for n in HELD_OUT_NOTICES) >= 0.8 * len(HELD_OUT_NOTICES)
+    assert sum(residue.placeholders(p) > 0 for p in HELD_OUT_PLACEHOLDERS) >= 0.8 * len(HELD_OUT_PLACEHOLDERS)
+    plain = [cases.sentence(random.Random(i)) for i in range(300)]
+    assert sum(residue.is_notice(p.lower()) for p in plain) <= 3 and not any(residue.placeholders(p) for p in plain)
+    assert not residue.placeholders("a{2,3} and {x: 1} with `{{name}}` or \"{0}\" in code, 5% of 7% cases, x << y")
+
+
+def test_stems_hold_for_every_notice():
+    import pyarrow.compute as pc
+
+    low = [" ".join(n.lower().split()) for n in HELD_OUT_NOTICES]
+    found = pc.match_substring_regex(pa.array(low), residue.STEMS).to_pylist()
+    assert all(f for f, n in zip(found, low) if residue.is_notice(n))
+
+
+def test_notices_are_learned_from_bodyless_pages_of_several_hosts(spark):
+    said = "Quorvex gate zelta: the frandle is asleep."
+    rows = [(i, f"https://h{i % 4}.test/{i}", "x", f"404 – page not found\n{said}" if i < 12 else said, [], "en") for i in range(16)]
+    rows += [(100 + i, f"https://h{i % 4}.test/b{i}", "y", "\n".join(cases.paragraph(random.Random(i * 7 + k)) for k in range(4)), [], "en") for i in range(40)]
+    frame = cases.pages_frame(spark, rows)
+    got = {r.page_id for r in pages.residue_pages(pages.judged(frame)[2]).collect()}
+    # twelve of the sixteen pages show a seed beside the sentence, which is below the share that is asked
+    assert not got
+    more = [(200 + i, f"https://h{i % 4}.test/c{i}", "x", f"404 – page not found\n{said}", [], "en") for i in range(12)]
+    got = {r.page_id for r in pages.residue_pages(pages.judged(cases.pages_frame(spark, rows + more))[2]).collect()}
+    assert got == set(range(16)) | set(range(200, 212))

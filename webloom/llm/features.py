@@ -210,7 +210,18 @@ class Residuals:
         keys, kinds = self.lines.keys[self.line_codes], self.lines.kinds[self.line_codes]
         neutral = ~whole & ((kinds == HEADING) | (keys == title[self.page_of_line]))
         shorts = np.flatnonzero(~whole & (length < 60))
-        neutral[shorts] |= [residue.is_stamp(t) for t in self.low.take(pa.array(shorts)).to_pylist()]
+        neutral[shorts] |= np.array([residue.is_stamp(t) for t in self.low.take(pa.array(shorts, pa.int64())).to_pylist()], dtype=bool)
         length[neutral] = 0
         by_page = lambda w: np.bincount(self.page_of_line, weights=w, minlength=self.pages)
+        self.open_lines = np.flatnonzero((length >= residue.LEARNED_CHARS) & (in_notice <= 0.5 * length))
+        self.line_length = length
         return by_page(in_notice), by_page(length), in_notice > 0.5 * np.maximum(1, length)
+
+    def bodyless_lines(self) -> pa.Array:
+        """Of pages without a body of their own: key and characters of the lines that are no notice yet (after notices())."""
+        bare = self.long_lines() < 2
+        rows: list[list[dict]] = [[] for _ in range(self.pages)]
+        for at in getattr(self, "open_lines", np.zeros(0, int)).tolist():
+            if bare[self.page_of_line[at]]:
+                rows[self.page_of_line[at]].append({"key": int(self.lines.keys[self.line_codes[at]]), "chars": float(self.line_length[at])})
+        return pa.array(rows, pa.list_(pa.struct([("key", pa.int64()), ("chars", pa.float64())])))

@@ -26,7 +26,7 @@ HOST_WEIGHT = 0.25
 SPAM_CUT = 0.5
 NOTICE_SHARE = 0.5
 #: Rows of a batch that is read at once; bounds a Python worker's memory.
-FACT_SCHEMA = "page_id long, host_key long, features array<float>, weak int, placeholders int, notice_share float, has_text boolean"
+FACT_SCHEMA = "page_id long, host_key long, features array<float>, weak int, placeholders int, notice_share float, has_text boolean, content double, bare array<struct<key:long,chars:double>>"
 LANGUAGE_FIELD = "languages array<struct<line_no:int,lang:string,confidence:double,named:string>>"
 
 
@@ -90,9 +90,11 @@ def _facts(wrappers: Wrappers, more=None):
                         pa.array(marks.astype(np.int32)),
                         pa.array(share.astype(np.float32)),
                         pa.array(has_text),
+                        pa.array(content.astype(np.float64)),
+                        residual.bodyless_lines(),
                         *([extra(batch, residual)] if extra else []),
                     ],
-                    names=["page_id", "host_key", "features", "weak", "placeholders", "notice_share", "has_text", *(["languages"] if extra else [])],
+                    names=["page_id", "host_key", "features", "weak", "placeholders", "notice_share", "has_text", "content", "bare", *(["languages"] if extra else [])],
                 )
 
     return rows
@@ -101,7 +103,8 @@ def _facts(wrappers: Wrappers, more=None):
 def page_facts(pages: DataFrame, wrappers: Wrappers, more=None, field: str = "") -> DataFrame:
     """One row per page (FACT_SCHEMA), kept in the shared folder: several steps read it."""
     schema = FACT_SCHEMA + (", " + field if field else "")
-    return cut(pages.select("page_id", "host_key", "title", "text", "language", "links", *extra(pages)).mapInArrow(_facts(wrappers, more), schema))
+    read = cut(pages.select("page_id", "host_key", "title", "text", "language", "links", *extra(pages)).mapInArrow(_facts(wrappers, more), schema))
+    return cut(residue.with_learned(read))
 
 
 def residue_pages(facts: DataFrame) -> DataFrame:
