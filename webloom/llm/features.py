@@ -200,6 +200,7 @@ class Residuals:
         in_sentence, latin = self.words.per(every, n), self.words.per(self.words.latin, n)
         marked = (in_sentence >= 4) & (latin >= 0.8 * in_sentence)
         maybe = pc.match_substring_regex(self.sentences, residue.STEMS).to_numpy(zero_copy_only=False).astype(bool) & ~marked
+        maybe &= ~self._beyond_doubt(maybe | marked)[self.page_of_line[self.line_of_sentence]]
         marked[maybe] = [bool(residue.NOTICE.search(" ".join(s.split()))) for s in self.sentences.filter(pa.array(maybe)).to_pylist()]
         chars = pc.utf8_length(self.sentences).to_numpy(zero_copy_only=False).astype(float)
         length = np.bincount(self.line_of_sentence, weights=chars, minlength=lines)
@@ -217,6 +218,18 @@ class Residuals:
         self.line_length = length
         return by_page(in_notice), by_page(length), in_notice > 0.5 * np.maximum(1, length)
 
+    def _beyond_doubt(self, maybe: np.ndarray) -> np.ndarray:
+        """Pages with a body of which less than half could be notices even if every possible sentence were one: no need to look closer."""
+        lines = len(self.line_codes)
+        chars = pc.utf8_length(self.sentences).to_numpy(zero_copy_only=False).astype(float)
+        length = np.bincount(self.line_of_sentence, weights=chars, minlength=lines)
+        most = np.bincount(self.line_of_sentence, weights=chars * maybe, minlength=lines)
+        most = np.where((most > 0) & (length <= residue.NOTICE_LINE), length, most)
+        title = np.array(title_keys(self.titles), dtype=np.int64)
+        sure = (length >= 60) & (self.lines.kinds[self.line_codes] != HEADING) & (self.lines.keys[self.line_codes] != title[self.page_of_line])
+        by_page = lambda w: np.bincount(self.page_of_line, weights=w, minlength=self.pages)
+        return (by_page(most) < 0.5 * by_page(length * sure)) & (self.long_lines() >= 2)
+
     def bodyless_lines(self) -> pa.Array:
         """Of pages without a body of their own: key and characters of the lines that are no notice yet (after notices())."""
         bare = self.long_lines() < 2
