@@ -161,3 +161,12 @@ def test_ranking_against_brute_force(spark):
         places = sorted(r.place for r in placed if r.query_id == q)
         assert places == list(range(1, len(places) + 1))
     assert fusion.first_places(frame.where("false")).count() == 0
+
+
+def test_equal_long_rows_fill_containers_of_their_own(spark):
+    sizes = spark.createDataFrame([(7, 250), (7, 250), (7, 250), (8, 100)], "doc_id long, tokens long")
+    packed = packing.containers(sizes, spark.createDataFrame([(1, 100)], "capacity_id int, capacity_tokens int")).collect()
+    load = {}
+    for r in packed:
+        load[r.container_id] = load.get(r.container_id, 0) + r.piece_tokens
+    assert max(load.values()) <= 100 and sum(load.values()) == 850

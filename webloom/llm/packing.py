@@ -122,13 +122,15 @@ def containers(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     wanted = sizes.where("tokens > 0").crossJoin(F.broadcast(room))
     whole = F.floor(F.col("tokens") / F.col("capacity_tokens"))
     rest = (F.col("tokens") % F.col("capacity_tokens")).cast("int")
+    # equal rows are told apart by number, so that each of their pieces fills a container of its own
+    longer = wanted.where("tokens >= capacity_tokens").groupBy("capacity_id", "capacity_tokens", "doc_id", "tokens").agg(F.count("*").alias("copies"))
     full = (
-        wanted.where("tokens >= capacity_tokens")
-        .select("capacity_id", "capacity_tokens", "doc_id", F.explode(F.sequence(F.lit(0), (whole - 1).cast("int"))).alias("piece_no"))
+        longer.select("capacity_id", "capacity_tokens", "doc_id", "tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+        .select("capacity_id", "capacity_tokens", "doc_id", "tokens", "copy", F.explode(F.sequence(F.lit(0), (whole - 1).cast("int"))).alias("piece_no"))
         .select(
             "capacity_id",
             "capacity_tokens",
-            (-F.abs(F.xxhash64("doc_id", "piece_no")) - 1).alias("container_id"),
+            F.concat_ws("-", F.lit("full"), "doc_id", "tokens", "copy", "piece_no").alias("container_id"),
             "doc_id",
             "piece_no",
             F.col("capacity_tokens").alias("piece_tokens"),
@@ -151,7 +153,7 @@ def containers(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
             break
     out = full
     for part in closed:
-        out = out.unionByName(part)
+        out = out.unionByName(part.withColumn("container_id", F.col("container_id").cast("string")))
     return out
 
 
