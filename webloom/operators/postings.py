@@ -10,8 +10,8 @@ from webloom.functions import urls as U
 from webloom.registry import query
 from webloom.session import table
 
-#: Bounds that postings keep: hits and positions saturate, words of one page are bounded.
-MOST_HITS, LAST_POSITION, WORDS_PER_PAGE = 255, 65_535, 8_192
+#: Bounds at which the hits and positions of postings saturate.
+MOST_HITS, LAST_POSITION = 255, 65_535
 TERMS = ("crawler", "index", "language")
 
 
@@ -21,11 +21,9 @@ def occurrences(documents: DataFrame, key: str = "doc_id", body: str = "text") -
 
 
 def postings(documents: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
-    """word, key, hits and first position; the first WORDS_PER_PAGE different words of a page count."""
+    """word, key, hits and first position, over all words of a page. The tokens of a page are combined before they are shuffled."""
     counted = occurrences(documents, key, body).groupBy(key, "word").agg(F.count("*").alias("hits"), F.min("position").alias("position"))
-    order = Window.partitionBy(key).orderBy("position", "word")
-    kept = counted.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= WORDS_PER_PAGE)
-    return kept.select(
+    return counted.select(
         "word", key, F.least("hits", F.lit(MOST_HITS)).cast("int").alias("hits"), F.least("position", F.lit(LAST_POSITION)).cast("int").alias("position")
     )
 

@@ -32,7 +32,8 @@ def local_session(app: str = "webloom", cores: str = "8") -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it.
 
-    Only a session that names none (tests, a laptop) gets a temporary one.
+    Only a session on one machine that names none (tests, a laptop) gets a temporary one;
+    on a cluster a folder of one machine would lose data, so none is made there.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
@@ -40,6 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return named or current.get()
     if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="webloom-checkpoint-")
     context.setCheckpointDir(named)
     return named

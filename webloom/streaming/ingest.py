@@ -56,11 +56,17 @@ def first_visits(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
 
 
+def _in_order(batches: Iterator[pd.DataFrame], order: list[str], *more: str) -> list[pd.DataFrame]:
+    """The rows of a key in one micro-batch as one frame in order: they come in several chunks, and a chunk alone is no order."""
+    parts = [batch[[*order, *more]] for batch in batches]
+    return [pd.concat(parts, ignore_index=True).sort_values(order, kind="stable")] if parts else []
+
+
 def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     seen = state.get if state.exists else (None, None)
     out = []
-    for batch in batches:
-        for observed, number in batch.sort_values(["observed", "number"])[["observed", "number"]].itertuples(index=False):
+    for batch in _in_order(batches, ["observed", "number"]):
+        for observed, number in batch.itertuples(index=False):
             entry = (None if pd.isna(observed) else int(observed), int(number))
             old = (seen[0] if seen[0] is not None else -(1 << 62), seen[1] if seen[1] is not None else -1)
             new = (entry[0] if entry[0] is not None else -(1 << 62), entry[1])
@@ -80,8 +86,8 @@ def newest_wins(observations: DataFrame) -> DataFrame:
 def _back_off(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     pause, failures = state.get if state.exists else (LEAST_PAUSE, 0)
     rows = 0
-    for batch in batches:
-        for kind in batch.sort_values(["ts", "event_id"])["event_type"]:
+    for batch in _in_order(batches, ["ts", "event_id"], "event_type"):
+        for kind in batch["event_type"]:
             rows += 1
             if kind == "error":
                 pause, failures = min(MOST_PAUSE, pause * 2), failures + 1
