@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.components import components
 from webloom.llm.frames import FrameReader, Learned, Wrappers, extra, learn, site_of
 from webloom.llm.lines import EMPTY, key64
 from webloom.llm.sizes import chunks
+from webloom.operators.graph import components
 from webloom.session import cut
 
 SIMILARITY = 0.45
