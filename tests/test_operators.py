@@ -205,3 +205,23 @@ def test_bootstrap_beyond_the_bound_takes_all_runs(spark, monkeypatch):
     assert got == pytest.approx(exact, abs=0.01)
     picks = np.random.default_rng(1).integers(0, 600, (2000, 600))
     assert exact[2] == pytest.approx(np.sort(gains[picks].mean(axis=1))[50])
+
+
+def test_back_off_does_not_depend_on_chunks(spark, tmp_path):
+    rng = random.Random(8)
+    kinds = [rng.choice(["error", "click"]) for _ in range(60)]
+    rows = [(i % 2, i, kinds[i], float(i)) for i in range(60)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string, ts double").coalesce(1).write.parquet(str(tmp_path / "e.parquet"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        got = {r.host: (r.pause, r.parked) for r in ingest.run_to_end(ingest.back_off(ingest.stream_of(spark, str(tmp_path / "e.parquet"))), "update").collect()}
+    finally:
+        spark.conf.set(key, usual)
+    for host in (0, 1):
+        pause, failures = ingest.LEAST_PAUSE, 0
+        for kind in kinds[host::2]:
+            pause, failures = (min(ingest.MOST_PAUSE, pause * 2), failures + 1) if kind == "error" else (max(ingest.LEAST_PAUSE, pause / 2), 0)
+        assert got[host] == (pause, failures >= ingest.PARK_AFTER)

@@ -232,7 +232,8 @@ def platt(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 100) -> tupl
 @query()
 def l7_platt_calibration(spark, folder):
     events = table(spark, folder, "events").where("value IS NOT NULL")
-    binned = events.groupBy(F.round("value", 1).alias("x")).agg(F.avg((F.col("event_type") == "click").cast("double")).alias("y"), F.count("*").alias("w")).limit(EXAMPLES).toPandas()
+    binned = events.groupBy(F.round("value", 1).alias("x")).agg(F.avg((F.col("event_type") == "click").cast("double")).alias("y"), F.count("*").alias("w"))
+    binned = binned.orderBy(F.xxhash64("x"), "x").limit(EXAMPLES).toPandas()  # the bins of least hash
     a, b = platt(binned["x"].to_numpy(float), binned["y"].to_numpy(float), binned["w"].to_numpy(float))
     return spark.createDataFrame([(round(a, 6), round(b, 6))], "slope double, offset double")
 

@@ -29,6 +29,8 @@ def m2_absorbed_newest(spark, folder):
     return verdicts.join(known, "number").groupBy("url").agg(F.max_by("number", F.struct("o", "number")).alias("newest"))
 
 
-@query()
+@query(f"""WITH told AS (SELECT user_id, list(CASE WHEN event_type = 'error' THEN -1.0 ELSE -2.0 END::double ORDER BY ts, event_id) AS kinds FROM events GROUP BY user_id)
+SELECT user_id::bigint AS host, list_reduce(list_prepend({ingest.LEAST_PAUSE}::double, kinds), lambda pause, kind: CASE WHEN kind = -1.0 THEN least({ingest.MOST_PAUSE}, pause * 2) ELSE greatest({ingest.LEAST_PAUSE}, pause / 2) END) AS pause,
+list_reduce(list_prepend(0.0::double, kinds), lambda failures, kind: CASE WHEN kind = -1.0 THEN failures + 1 ELSE 0.0 END) >= {ingest.PARK_AFTER} AS parked FROM told""")
 def m7_host_back_off(spark, folder):
     return ingest.run_to_end(ingest.back_off(ingest.stream_of(spark, f"{folder}/events.parquet")), "update").select("host", "pause", "parked")
