@@ -196,6 +196,21 @@ def test_keys_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
     assert {(r.result_id, r.text, r.removed_lines) for r in repeats.without_repeats(frame).collect()} == texts
 
 
+def test_chains_of_lines_do_not_depend_on_the_broadcast_bound(spark, monkeypatch):
+    # each line shares 18 of 22 words with the next, so few buckets hold three of them
+    rows = []
+    for site in range(12):
+        words = [f"w{chr(97 + site)}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+        rows += [(8 * site + k, f"https://s{site}.test/{k}", " ".join(words[2 * k : 2 * k + 20]) + f"\nown text {words[k]}") for k in range(8)]
+    frame = cases.results_frame(spark, rows)
+    got = {(r.result_id, r.text, r.removed_lines) for r in repeats.without_repeats(frame).collect()}
+    assert sum(r[2] for r in got) >= 0.9 * len(rows) and max(r[2] for r in got) == 1
+    monkeypatch.setattr(repeats, "MAX_BROADCAST_KEYS", 2)
+    assert {(r.result_id, r.text, r.removed_lines) for r in repeats.without_repeats(frame).collect()} == got
+    monkeypatch.setattr(repeats, "MAX_LINKS", 6)
+    assert {(r.result_id, r.text, r.removed_lines) for r in repeats.without_repeats(frame).collect()} == got
+
+
 def test_versions_with_joined_anchors(spark, monkeypatch):
     frame = cases.results_frame(spark, [r[:3] for r in versions()])
     want = {tuple(r) for r in near.version_pairs(frame).collect()}
